@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from leafmill.llm.scratch import partitions, shared_dir
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -52,7 +52,7 @@ def _planes(codes: np.ndarray) -> list[bytes]:
 
 
 def _codes(planes: list[bytes]) -> np.ndarray:
-    return np.ascontiguousarray(np.stack([np.frombuffer(x, np.uint8) for x in planes], 1)).view("<u4").reshape(-1).astype(np.int64)
+    return np.ascontiguousarray(np.stack([np.frombuffer(x, np.uint8) for x in planes], 1)).view("<u4").reshape(-1)
 
 
 class _Block:
@@ -69,7 +69,7 @@ class _Block:
         found = find(text or "")
         self.ids.append(doc_id)
         self.tokens.append(np.fromiter(map(self.words.__getitem__, found), np.uint32, len(found)))
-        self.chars += len(text or "")
+        self.chars += len(text or "")  # bounds the block
 
     def rows(self, block: int, parts: int) -> pd.DataFrame:
         seq = np.concatenate(self.tokens)
@@ -102,7 +102,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     each row gives one row.
     """
     spark = docs.sparkSession
-    parts = parts or partitions(spark)
+    parts = parts or 2 * partitions(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     wide = max(ranks.value.values()) >= 65536
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -126,17 +126,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         import tiktoken
 
         piece = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})._encode_single_piece
-        known: dict[bytes, list[int]] = {}
+        kind = np.dtype("<u4" if wide else "<u2")
+        known: dict[bytes, bytes] = {}  # ids as bytes take far less memory than lists
         out = []
         for block, payload in zip(pdf["block"], pdf["payload"]):
             lens, blob = _unpack(payload)
             words = _cut(np.frombuffer(lens, "<u4"), blob)
             for w in words:
                 if w not in known:
-                    known[w] = piece(w)
+                    known[w] = np.array(piece(w), kind).tobytes()
             found = [known[w] for w in words]
-            flat = np.fromiter((x for ids in found for x in ids), "<u4" if wide else "<u2")
-            out.append((block, int(pdf["part"].iloc[0]), _pack(np.array(list(map(len, found)), "<u4"), flat)))
+            out.append((block, int(pdf["part"].iloc[0]), _pack(np.array(list(map(len, found)), "<u4") // kind.itemsize, b"".join(found))))
         return pd.DataFrame(out, columns=["block", "part", "payload"])
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -155,6 +155,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         n_tokens, *planes = _unpack(left["payload"].iloc[0])
         ends = np.cumsum(np.frombuffer(n_tokens, "<u4"), dtype=np.int64)
         seq = _codes(planes)
+        del planes, flats, sizes, where, codes
         out, begin = [], 0
         for end in ends:
             mine = seq[begin:end]

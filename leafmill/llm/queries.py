@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, mixing, simhash, toxicity
+from leafmill.llm import bpe, extraction, mixing, simhash, toxicity
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -22,6 +22,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("class_id").alias("component_id"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    found = extraction.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     taken = mixing.plan(_table(spark, sf_dir, "documents"))
@@ -48,6 +54,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op3_html_extraction": op3_html_extraction,
         "op6_mix_sources": op6_mix_sources,
         "op7_byte_bpe": op7_byte_bpe,
         "op9_toxicity": op9_toxicity,

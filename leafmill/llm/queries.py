@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, extraction, mixing, simhash, toxicity
+from leafmill.llm import bpe, collisions, extraction, forest, mixing, simhash, toxicity
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -28,6 +28,16 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of each vector."""
+    return collisions.near_dups(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of each row whose id is divisible by 100."""
+    return forest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     taken = mixing.plan(_table(spark, sf_dir, "documents"))
@@ -55,6 +65,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op3_html_extraction": op3_html_extraction,
+        "op4_embedding_near_dedup": op4_embedding_near_dedup,
+        "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_mix_sources": op6_mix_sources,
         "op7_byte_bpe": op7_byte_bpe,
         "op9_toxicity": op9_toxicity,

@@ -161,14 +161,16 @@ def fold(id_col):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from labelled documents outside the held-out fifth, on the driver.
 
-    The sample has at most MAX_TOXIC and MAX_ORDINARY documents of at most MAX_BYTES bytes, those whose ids hash
-    lowest. Rows with a null label, id or text don't count; of repeated ids with two labels the toxic one holds.
+    The sample is of at most MAX_TOXIC and MAX_ORDINARY ids, those that hash lowest, and of them the documents of at
+    most MAX_BYTES bytes. Rows with a null label, id or text don't count; of repeated ids with two labels the toxic one holds.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).dropna().filter(fold(F.col("id")) != 0).groupBy("id").agg(F.max("y").alias("y"))
+    pick = lambda y, n: marked.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
+    chosen = F.broadcast(pick(1, MAX_TOXIC).union(pick(0, MAX_ORDINARY)))  # bounded, so that no text is shuffled
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.octet_length("text").between(1, MAX_BYTES))
-    joined = texts.join(marked, F.col("doc_id") == F.col("id")).select("doc_id", "text", "y", F.xxhash64("doc_id").alias("h"))
-    sample = lambda y, n: [r["text"] for r in joined.filter(F.col("y") == y).orderBy("h", "doc_id", "text").limit(n).select("text").collect()]
-    return fit(sample(1, MAX_TOXIC), sample(0, MAX_ORDINARY))
+    found = sorted(texts.join(chosen, F.col("doc_id") == F.col("id")).select("y", F.xxhash64("doc_id"), "doc_id", "text").distinct().collect())
+    sample = lambda y: [r["text"] for r in found if r["y"] == y]
+    return fit(sample(1), sample(0))
 
 
 def score_column(spark, model: Model, text):

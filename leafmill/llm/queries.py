@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, collisions, extraction, forest, mixing, simhash, toxicity
+from leafmill.llm import bpe, collisions, extraction, forest, lines, mixing, simhash, toxicity
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -53,6 +53,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and removed lines of each document, and the digest of what is left."""
+    left = lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of each document, learnt outside the held-out fifth."""
     docs = _table(spark, sf_dir, "documents")
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_mix_sources": op6_mix_sources,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_line_dedup": op8_line_dedup,
         "op9_toxicity": op9_toxicity,
     }
 

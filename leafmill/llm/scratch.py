@@ -39,6 +39,15 @@ class Table:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bucketed(df: DataFrame, name: str, n: int, *keys: str, sort: bool = False) -> DataFrame:
+    """A DataFrame written to the shared folder in n buckets by the keys: joins and groups by them need no shuffle."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    writer = df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").option("path", f"{shared_dir(spark)}/leafmill/{name}")
+    (writer.sortBy(*keys) if sort else writer).saveAsTable(name)
+    return spark.table(name)
+
+
 def partitions(spark: SparkSession) -> int:
     """How many partitions a shuffle makes, as the session is configured."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

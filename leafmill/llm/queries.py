@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, collisions, extraction, forest, lines, mixing, simhash, toxicity
+from leafmill.llm import bpe, collisions, extraction, forest, lines, mixing, simhash, toxicity, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -22,6 +22,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("class_id").alias("component_id"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of each page's URL."""
+    return urls.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of each page."""
     found = extraction.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -70,6 +75,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op2_url_filters": op2_url_filters,
         "op3_html_extraction": op3_html_extraction,
         "op4_embedding_near_dedup": op4_embedding_near_dedup,
         "op5_nearest_neighbours": op5_nearest_neighbours,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, collisions, extraction, forest, lines, mixing, simhash, toxicity, urls
+from leafmill.llm import bpe, collisions, extraction, forest, lines, mixing, simhash, suffixes, toxicity, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -72,6 +72,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is removed of each document, and the digest of the bytes left."""
+    found = suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -83,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_byte_bpe": op7_byte_bpe,
         "op8_line_dedup": op8_line_dedup,
         "op9_toxicity": op9_toxicity,
+        "op10_suffix_array_dedup": op10_suffix_array_dedup,
     }
 
 

@@ -14,6 +14,7 @@ from leafmill.llm.bpe import _pack, _unpack
 from leafmill.llm.scratch import partitions, shared_dir
 
 LENGTH, GRAM, HALF = 50, 16, 32
+CHUNK_BITS = 16
 BLOCK_BYTES = 4_000_000
 #: A shard of more bytes is sorted in parts, which are then merged by binary search.
 SHARD_BYTES = 8_000_000
@@ -32,64 +33,82 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place where LENGTH bytes start, the anchor's place and hash. In chunks that fit a processor's cache."""
+    n = len(data) - LENGTH + 1
+    place, found = np.empty(n, np.int64), np.empty(n, np.uint64)
+    bits = np.uint64(CHUNK_BITS + 1)
+    for at in range(0, n, 1 << CHUNK_BITS):
+        hashes = _gram_hashes(data[at : min(at + (1 << CHUNK_BITS), n) + LENGTH - 1])
+        least = ((hashes >> bits) << bits) | np.arange(len(hashes), dtype=np.uint64)
+        width = 1
+        while 2 * width <= LENGTH - GRAM + 1:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if rest := LENGTH - GRAM + 1 - width:
+            least = np.minimum(least[:-rest], least[rest:])
+        own = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        place[at : at + len(own)], found[at : at + len(own)] = own + at, hashes[own]
+    return place, found
+
+
 def runs(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, doc, first, last) of each run of places where LENGTH bytes start that have their anchor in common.
 
     A string's anchor is the GRAM-byte piece in it with the least hash, the leftmost of equals. It depends on the
     string alone, so equal strings have equal anchors at equal places, wherever they are.
     """
-    n = len(data)
-    if n < LENGTH:
-        return (np.empty(0, np.uint64),) + (np.empty(0, np.int64),) * 3
-    hashes = _gram_hashes(data)
-    bits = np.uint64(int(n).bit_length())
-    least = ((hashes >> bits) << bits) | np.arange(len(hashes), dtype=np.uint64)
-    width = 1
-    while 2 * width <= LENGTH - GRAM + 1:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if rest := LENGTH - GRAM + 1 - width:
-        least = np.minimum(least[:-rest], least[rest:])
-    anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    none = (np.empty(0, np.uint64),) + (np.empty(0, np.int64),) * 3
+    if len(data) < LENGTH:
+        return none
+    anchor, hashes = _anchors(data)
     ends = np.cumsum(lens)
-    doc = np.repeat(np.arange(len(lens)), lens)[: len(anchor)]
-    starts = np.nonzero(ends[doc] - np.arange(len(anchor)) >= LENGTH)[0]
+    inside = np.ones(len(data) + LENGTH, bool)  # places whose LENGTH bytes are of one document
+    for k in range(1, LENGTH):
+        inside[ends - k] = False
+    short = np.nonzero(lens < LENGTH)[0]
+    for d in short:
+        inside[ends[d] - lens[d] : ends[d]] = False
+    starts = np.nonzero(inside[: len(anchor)])[0]
     if not len(starts):
-        return (np.empty(0, np.uint64),) + (np.empty(0, np.int64),) * 3
+        return none
     anchor = anchor[starts]
     cut = np.nonzero(np.diff(anchor))[0]
     first, last = starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])]
-    return hashes[anchor[np.concatenate([[0], cut + 1])]] >> np.uint64(16), doc[first], first, last
+    return hashes[first] >> np.uint64(16), np.searchsorted(ends, first, side="right"), first, last
 
 
-def _ranks(data: np.ndarray, depth: int) -> np.ndarray:
-    """Places' ranks by the depth bytes that start there, by Larsson and Sadakane's refinement: each pass doubles
-    the sorted length and sorts only the groups that are not yet single. Bytes past the end count as 0."""
+def _ranks(data: np.ndarray, rest: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the places by the depth bytes that start there, by Larsson and Sadakane's refinement: each pass
+    doubles the sorted length and sorts only the groups that are not yet single. rest: how many bytes of its context
+    each place has; only places with depth bytes get their rank."""
     n = len(data)
     word = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     for width in (1, 2, 4):
         word = (word[:-width] << np.uint64(8 * width)) | word[width:]
-    word = word[:n]
-    order = np.argsort(word, kind="stable")
-    opens = np.concatenate([[True], np.diff(word[order]) != 0])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.nonzero(opens)[0][np.cumsum(opens) - 1]
+    at = np.nonzero(rest >= 8)[0]
+    word = word[at]
+    by = np.argsort(word)
+    at, word = at[by], word[by]
+    rank = np.zeros(n, np.int64)
+    opens = np.concatenate([[True], word[1:] != word[:-1]])
+    rank[at] = np.nonzero(opens)[0][np.cumsum(opens) - 1]
     h = 8
     while h < depth:
-        opens = rank[order] == np.arange(n)
-        slots = np.nonzero(~(opens & np.concatenate([opens[1:], [True]])))[0]
-        if not len(slots):
+        single = opens & np.concatenate([opens[1:], [True]])
+        at = at[~single & (rest[at] >= 2 * h)]
+        if not len(at):
             break
-        at = order[slots]
-        after = np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
-        key = rank[at] * (n + 1) + after
-        by = np.argsort(key, kind="stable")
-        order[slots] = at[by]
-        key = key[by]
-        opens = np.concatenate([[True], np.diff(key) != 0])
-        new = rank.copy()
-        new[at[by]] = slots[np.nonzero(opens)[0][np.cumsum(opens) - 1]]
-        rank, h = new, 2 * h
+        key = rank[at] * (n + 1) + rank[at + h]
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        opens = np.concatenate([[True], key[1:] != key[:-1]])
+        old = rank[at]
+        begins = np.concatenate([[True], old[1:] != old[:-1]])
+        # a group's parts are told apart by their offsets in it, which stay below its size
+        run, group = np.nonzero(opens)[0][np.cumsum(opens) - 1], np.nonzero(begins)[0][np.cumsum(begins) - 1]
+        rank[at] = old + run - group
+        h *= 2
     return rank
 
 
@@ -103,13 +122,17 @@ def _shard(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     """
     data = np.frombuffer(b"".join(contexts), np.uint8)
     lens = np.fromiter(map(len, contexts), np.int64, len(contexts))
-    rank = _ranks(data, HALF)
+    ends = np.cumsum(lens)
+    rank = _ranks(data, np.repeat(ends, lens) - np.arange(len(data)), HALF)
     n_strings = lens - LENGTH + 1
     of = np.repeat(np.arange(len(lens)), n_strings)
     at = np.arange(n_strings.sum()) - np.repeat(np.cumsum(n_strings) - n_strings, n_strings) + np.repeat(np.cumsum(lens) - lens, n_strings)
     keys = rank[at] * (len(data) + 1) + rank[at + LENGTH - HALF]
-    _, first, kind = np.unique(keys, return_index=True, return_inverse=True)
-    return kind, of, at[first], data
+    by = np.argsort(keys)
+    opens = np.concatenate([[True], keys[by][1:] != keys[by][:-1]])
+    kind = np.empty(len(by), np.int64)
+    kind[by] = np.cumsum(opens) - 1
+    return kind, of, at[by[opens]], data
 
 
 def least_ids(contexts: list[bytes], ids: np.ndarray, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
@@ -214,7 +237,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def rows(ids, texts):
             block = _Block(ids, texts)
             hashes, doc, _, _ = block.runs()
-            order = np.lexsort((block.ids[doc], hashes))
+            order = np.argsort(hashes)
             h, i = hashes[order], block.ids[doc][order]
             opens = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.empty(0, bool)
             at = np.nonzero(opens)[0]

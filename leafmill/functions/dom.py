@@ -162,7 +162,10 @@ class _Builder(HTMLParser):
                 break
             if here in ("table", "ul", "ol", "dl", "article", "body", "div"):
                 break
-        node = self.open[-1].add(Node(tag, {k: v or "" for k, v in reversed(attrs)}))
+        first: dict[str, str] = {}
+        for k, v in attrs:
+            first.setdefault(k, v or "")
+        node = self.open[-1].add(Node(tag, first))
         if tag not in VOID:
             self.open.append(node)
 

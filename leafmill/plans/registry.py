@@ -4,18 +4,457 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from leafmill.functions import markdown, urls
+from leafmill.operators import consolidate, detect, posts, state, validate
+from leafmill.operators import pages as page_ops
+from leafmill.operators import refine as refine_ops
+from leafmill.operators.nodes import count_inside, dom_nodes
+from leafmill.sources import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+# Relations made of the documents by the same rules in both engines, since the test pages hold few defects.
+# One SQL text for both: no function that the engines spell differently.
+SYN_PAGES = """
+SELECT doc_id, source AS author, concat('<article><h1>Post ', cast(doc_id AS varchar(20)), '</h1><p>', replace(replace(replace(substring(text, 1, 2000), '&', '&amp;'), '<', '&lt;'), chr(10), ' '), '</p>',
+  CASE WHEN doc_id % 5 = 0 THEN '<img src="data:image/gif;base64,R0lGOD" alt="late">' WHEN doc_id % 5 = 1 THEN concat('<img src="https://cdn.example.com/i', cast(doc_id AS varchar(20)), '.png" alt="x">') ELSE '' END,
+  CASE WHEN doc_id % 7 = 0 THEN '<noscript><img src="https://cdn.example.com/n.png"></noscript>' ELSE '' END,
+  CASE WHEN doc_id % 11 = 0 THEN '<iframe title="video"></iframe>' WHEN doc_id % 11 = 1 THEN '<iframe data-src="https://v.example.com/1"></iframe>' ELSE '' END,
+  CASE WHEN doc_id % 13 = 0 THEN '<script src="https://gist.github.com/u/abc123.js"></script>' ELSE '' END,
+  CASE WHEN doc_id % 17 = 0 THEN '<img src="https://pixel.wp.com/g.gif" width="1" height="1">' ELSE '' END,
+  CASE WHEN doc_id % 19 = 0 THEN '<p><a href="https://imgur.com/a/1">album</a></p>' ELSE '' END,
+  CASE WHEN doc_id % 23 = 0 THEN '<div class="sharedaddy">Share it now</div>' ELSE '' END, '</article>') AS html
+FROM documents
+"""
+SYN_STATE = """
+SELECT doc_id, source AS author, concat('Post ', cast(doc_id AS varchar(20))) AS title, concat('20', cast(10 + doc_id % 15 AS varchar(2)), '-0', cast(1 + doc_id % 9 AS varchar(1)), '-15') AS date,
+  CASE WHEN doc_id % 4 = 0 THEN NULL ELSE concat('h', cast(doc_id % 3 AS varchar(2))) END AS md_hash, concat('h', cast(doc_id % 6 AS varchar(2))) AS html_hash,
+  doc_id % 4 <> 0 AS generated, doc_id % 10 = 0 AS staged, doc_id % 3 = 0 AS reviewed, doc_id % 5 AS html_issues, doc_id % 2 AS md_issues
+FROM documents
+"""
+SYN_MD = """
+SELECT doc_id, source AS author, concat(CASE WHEN doc_id % 9 = 0 THEN '' ELSE concat('---', chr(10), 'title: Post', chr(10), CASE WHEN doc_id % 6 = 0 THEN '' ELSE concat('date: 2020-01-15', chr(10)) END, 'author: A', chr(10), '---', chr(10)) END,
+  chr(10), text, chr(10), CASE WHEN doc_id % 4 = 0 THEN concat(chr(10), '```java', chr(10), 'class A', chr(10), '```', chr(10)) WHEN doc_id % 4 = 1 THEN concat(chr(10), '```zork', chr(10), 'x', chr(10), '```', chr(10)) WHEN doc_id % 4 = 2 THEN concat(chr(10), '```', chr(10), 'y', chr(10)) ELSE '' END,
+  CASE WHEN doc_id % 5 = 0 THEN ' &amp; &amp; &lt; &gt; &quot; &nbsp;' ELSE '' END, CASE WHEN doc_id % 8 = 0 THEN ' [here]()' ELSE '' END, CASE WHEN doc_id % 12 = 0 THEN ' ../../assets/a.png' ELSE '' END,
+  CASE WHEN doc_id % 14 = 0 THEN concat('a', chr(10), chr(10), chr(10), chr(10), 'b') ELSE '' END, CASE WHEN doc_id % 15 = 0 THEN ' View all posts' ELSE '' END, CASE WHEN doc_id % 16 = 0 THEN ' @@CODEBLOCK_001@@' ELSE '' END) AS md
+FROM documents
+"""
+SYN_ASSETS = """
+SELECT concat('assets/posts/', source, '/f', cast(doc_id % 7 AS varchar(2)), '-', cast(doc_id AS varchar(20)), '.png') AS path, source AS slug, text AS content FROM documents
+"""
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A made relation over the documents of a folder, without a view that other queries could see."""
+    return spark.sql(sql.replace("FROM documents", "FROM {docs}").strip(), docs=_table(spark, sf_dir, "documents"))
+
+
+def _query(name: str, oracle: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if oracle:
+            _ORACLES[name] = oracle
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    """Posts by type of issue over pages made of the documents."""
+    return issue_breakdown(spark, sf_dir)
+
+
+HOST = "lower(regexp_extract(url, '^https?://([^/?#:]+)', 1))"
+PATH = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
+SEGMENTS = f"list_filter(string_split({PATH}, '/'), lambda x: trim(x) <> '')"
+
+
+@_query("url_domain", f"SELECT page_id, regexp_replace({HOST}, '^www\\.', '') AS domain FROM pages")
+def url_domain(spark, d):
+    return _table(spark, d, "pages").select("page_id", urls.domain(F.col("url")).alias("domain"))
+
+
+@_query("url_normalise", "SELECT page_id, regexp_replace(trim(url), '/+$', '') AS plain, regexp_replace(regexp_replace(trim(url), '/+$', ''), '^http://', 'https://') AS secure FROM pages")
+def url_normalise(spark, d):
+    return _table(spark, d, "pages").select("page_id", urls.normalise(F.col("url")).alias("plain"), urls.normalise(F.col("url"), True).alias("secure"))
+
+
+@_query("url_slug", f"""WITH s AS (SELECT page_id, url, lower(coalesce({SEGMENTS}[-1], '')) AS last FROM pages), c AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(last, '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM s)
+SELECT page_id, CASE WHEN slug = '' THEN substr(sha256(url), 1, 8) ELSE slug END AS slug FROM c""")
+def url_slug(spark, d):
+    return _table(spark, d, "pages").select("page_id", urls.slug(F.col("url")).alias("slug"))
+
+
+@_query("url_is_post", f"""SELECT page_id, regexp_matches(url, '^https?://') AND NOT contains(url, '..') AND len(list_filter({SEGMENTS}, lambda x: lower(x) IN ('category','tag','author','page','feed','wp-content','wp-includes','wp-admin','comment-page','attachment'))) = 0
+  AND (regexp_matches({PATH}, '/[0-9]{{4}}/') OR len({SEGMENTS}) >= 1) AS is_post FROM pages""")
+def url_is_post(spark, d):
+    return _table(spark, d, "pages").select("page_id", urls.is_post(F.col("url")).alias("is_post"))
+
+
+@_query("url_filename", "SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) AS name FROM pages")
+def url_filename(spark, d):
+    return _table(spark, d, "pages").select("page_id", urls.filename(F.col("url")).alias("name"))
+
+
+@_query("url_dedupe_ordered", f"SELECT site, pos, url FROM (SELECT {HOST} AS site, page_id AS pos, regexp_replace(url, '[?#].*$', '') AS url, row_number() OVER (PARTITION BY {HOST}, regexp_replace(url, '[?#].*$', '') ORDER BY page_id) AS n FROM pages) WHERE n = 1")
+def url_dedupe_ordered(spark, d):
+    return feeds.dedupe_ordered(_table(spark, d, "pages").select(urls.host(F.col("url")).alias("site"), F.col("page_id").alias("pos"), F.regexp_replace("url", "[?#].*$", "").alias("url")))
+
+
+@_query("discovery_cascade", f"""WITH a AS (SELECT {HOST} AS site, page_id AS pos, url, CASE WHEN contains(url, '/en/') THEN 0 WHEN contains(url, '/de/') THEN 1 ELSE 2 END AS rank FROM pages), b AS (SELECT *, min(rank) OVER (PARTITION BY site) AS best FROM a)
+SELECT site, pos, url FROM (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY pos) AS n FROM b WHERE rank = best) WHERE n = 1""")
+def discovery_cascade(spark, d):
+    all_ = _table(spark, d, "pages").select(urls.host(F.col("url")).alias("site"), F.col("page_id").alias("pos"), "url")
+    en, de = F.contains("url", F.lit("/en/")), F.contains("url", F.lit("/de/"))
+    return feeds.cascade(all_.filter(en), all_.filter(~en & de), all_.filter(~en & ~de))
+
+
+@_query("host_rollup", f"SELECT {HOST} AS host, count(*)::BIGINT AS pages, count(DISTINCT {PATH})::BIGINT AS paths FROM pages GROUP BY 1 HAVING count(*) > 1")
+def host_rollup(spark, d):
+    return _table(spark, d, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"), F.count_distinct(urls.path(F.col("url"))).alias("paths")).filter("pages > 1")
+
+
+@_query("page_title", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def page_title(spark, d):
+    return _table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@_query("page_hash12", "SELECT page_id, substr(sha256(html), 1, 12) AS hash FROM pages")
+def page_hash12(spark, d):
+    return _table(spark, d, "pages").select("page_id", state.short_hash(F.col("html")).alias("hash"))
+
+
+@_query("page_link_counts", "SELECT page_id, len(regexp_extract_all(html, '<a href'))::BIGINT AS links, len(regexp_extract_all(html, '<p>'))::BIGINT AS paragraphs FROM pages")
+def page_link_counts(spark, d):
+    count = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
+    return _table(spark, d, "pages").select("page_id", count("<a href").alias("links"), count("<p>").alias("paragraphs"))
+
+
+@_query("repeated_nav_links", "SELECT page_id, href, count(*)::BIGINT AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY 1, 2 HAVING count(*) >= 2")
+def repeated_nav_links(spark, d):
+    refs = _table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
+    return refs.groupBy("page_id", "href").agg(F.count("*").alias("n")).filter("n >= 2")
+
+
+@_query("page_tag_counts", "SELECT tag, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) GROUP BY 1")
+def page_tag_counts(spark, d):
+    return _table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)[ >]"), 1)).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@_query("dom_element_counts", """SELECT page_id, (1 + len(regexp_extract_all(regexp_extract(html, '<article>.*</article>', 0, 's'), '<(?:h1|p|b|br)>')))::BIGINT AS elements FROM pages""")
+def dom_element_counts(spark, d):
+    """Elements of each page's article, from the parsed relation."""
+    return dom_nodes(_table(spark, d, "pages"), "page_id").groupBy("page_id").agg(F.count("*").alias("elements"))
+
+
+@_query("dom_nth_of_type")
+def dom_nth_of_type(spark, d):
+    """Place of each element among siblings of its tag, by a window over the relation."""
+    nodes = dom_nodes(_table(spark, d, "pages"), "page_id")
+    return nodes.select("page_id", "node_id", "tag", F.row_number().over(Window.partitionBy("page_id", "parent_id", "tag").orderBy("node_id")).alias("nth"), "selector")
+
+
+_NUMBERED = {
+    "data_placeholder": "doc_id % 5 = 0", "external_image": "doc_id % 5 = 1 OR doc_id % 7 = 0", "noscript_remnant": "doc_id % 7 = 0", "empty_embed": "doc_id % 11 IN (0, 1)",
+    "unreplaced_gist": "doc_id % 13 = 0", "tracking_pixel": "doc_id % 17 = 0", "imgur_image": "doc_id % 19 = 0", "wordpress_chrome": "doc_id % 23 = 0",
+}
+_BY_RULE = tuple(_NUMBERED)
+ISSUES_SQL = " UNION ALL ".join(f"SELECT doc_id, source AS author, '{t}' AS type FROM documents WHERE {w}" for t, w in _NUMBERED.items() if t != "external_image") + (
+    " UNION ALL SELECT doc_id, source, 'external_image' FROM documents WHERE doc_id % 5 = 1 UNION ALL SELECT doc_id, source, 'external_image' FROM documents WHERE doc_id % 7 = 0"
+)
+
+
+def _issues(spark, d) -> tuple[DataFrame, DataFrame]:
+    made = _made(spark, d, SYN_PAGES)
+    return detect.scan(dom_nodes(made, "doc_id"), made, names=_BY_RULE), made
+
+
+@_query("issue_list", ISSUES_SQL.replace(", source AS author", "").replace(", source,", ","))
+def issue_list(spark, d):
+    """Issues that eight detectors find in the made pages."""
+    return _issues(spark, d)[0].select("doc_id", "type")
+
+
+@_query("issue_breakdown", f"SELECT type, count(DISTINCT doc_id)::BIGINT AS posts, count(*)::BIGINT AS issues FROM ({ISSUES_SQL}) GROUP BY 1")
+def issue_breakdown(spark, d):
+    return _issues(spark, d)[0].groupBy("type").agg(F.count_distinct("doc_id").alias("posts"), F.count("*").alias("issues"))
+
+
+@_query("issue_rollup_author_type", f"SELECT author, type, count(DISTINCT doc_id)::BIGINT AS posts FROM ({ISSUES_SQL}) GROUP BY ROLLUP (author, type)")
+def issue_rollup_author_type(spark, d):
+    found, made = _issues(spark, d)
+    return posts.rollup(found.select(F.col("doc_id").alias("slug"), "type"), made.select(F.col("doc_id").alias("slug"), "author"))
+
+
+DISMISSED = "SELECT doc_id, 'data_placeholder' AS type FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'unreplaced_gist' FROM documents WHERE doc_id % 3 = 0"
+
+
+def _dismissals(spark, d) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    return docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("slug"), F.lit("data_placeholder").alias("type")).unionByName(docs.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("slug"), F.lit("unreplaced_gist").alias("type")))
+
+
+@_query("issues_active_after_dismissal", f"SELECT i.doc_id, i.type FROM ({ISSUES_SQL}) i ANTI JOIN ({DISMISSED}) s ON i.doc_id = s.doc_id AND i.type = s.type")
+def issues_active_after_dismissal(spark, d):
+    found = _issues(spark, d)[0].select(F.col("doc_id").alias("slug"), "type")
+    return state.active_issues(found, _dismissals(spark, d)).select(F.col("slug").alias("doc_id"), "type")
+
+
+@_query("dismissals_retained", f"SELECT s.doc_id, s.type FROM ({DISMISSED}) s SEMI JOIN ({ISSUES_SQL}) i ON i.doc_id = s.doc_id AND i.type = s.type")
+def dismissals_retained(spark, d):
+    found = _issues(spark, d)[0].select(F.col("doc_id").alias("slug"), "type")
+    return state.kept_dismissals(_dismissals(spark, d), found).select(F.col("slug").alias("doc_id"), "type")
+
+
+@_query("detectors_all")
+def detectors_all(spark, d):
+    """All detectors over the real pages."""
+    source = _table(spark, d, "pages")
+    return detect.scan(dom_nodes(source, "page_id"), source).select("page_id", "node_id", "type", "level", "detail", "selector")
+
+
+def _state(spark, d) -> DataFrame:
+    return _made(spark, d, SYN_STATE)
+
+
+def _stale() -> Column:
+    return state.stale(F.when(F.col("generated"), "t"), F.col("html_hash"), F.col("md_hash"))
+
+
+STALE_SQL = "coalesce(generated AND md_hash <> html_hash, false)"
+
+
+@_query("project_stats", f"SELECT count(*)::BIGINT AS total, count_if(reviewed)::BIGINT AS reviewed, count_if(staged)::BIGINT AS staged, count_if(generated)::BIGINT AS md_generated, count_if(html_issues > 0)::BIGINT AS html_issues FROM ({SYN_STATE})")
+def project_stats(spark, d):
+    return posts.stats(_state(spark, d))
+
+
+@_query("stale_posts", f"SELECT doc_id FROM ({SYN_STATE}) WHERE {STALE_SQL}")
+def stale_posts(spark, d):
+    return _state(spark, d).filter(_stale()).select("doc_id")
+
+
+@_query("badge_priority", f"SELECT doc_id, CASE WHEN staged THEN 'Staged' WHEN {STALE_SQL} THEN 'Stale' WHEN html_issues + md_issues > 0 THEN 'Issues' WHEN reviewed THEN 'Reviewed' WHEN generated THEN 'Generated' ELSE 'None' END AS badge FROM ({SYN_STATE})")
+def badge_priority(spark, d):
+    return _state(spark, d).select("doc_id", posts.badge(F.col("staged"), _stale(), F.col("html_issues") + F.col("md_issues"), F.col("reviewed"), F.col("generated")).alias("badge"))
+
+
+@_query("status_filters", f"""WITH s AS (SELECT *, {STALE_SQL} AS stale FROM ({SYN_STATE}))
+SELECT status, count(*)::BIGINT AS posts FROM (SELECT unnest(list_filter(['all', CASE WHEN html_issues > 0 THEN 'html' END, CASE WHEN md_issues > 0 THEN 'md' END, CASE WHEN stale AND NOT staged THEN 'stale' END, CASE WHEN staged THEN 'staged' END, CASE WHEN NOT generated THEN 'no_md' END], lambda x: x IS NOT NULL)) AS status FROM s) GROUP BY 1""")
+def status_filters(spark, d):
+    s = _state(spark, d).withColumn("stale", _stale())
+    hits = F.array_compact(F.array(*[F.when(f(), F.lit(name)) for name, f in posts.STATUS.items()]))
+    return s.select(F.explode(hits).alias("status")).groupBy("status").agg(F.count("*").alias("posts"))
+
+
+@_query("search_title_body", "SELECT doc_id FROM documents WHERE contains(lower(concat('Post ', doc_id::VARCHAR)), '12') OR contains(lower(text), 'thinth')")
+def search_title_body(spark, d):
+    made = _table(spark, d, "documents").select(F.col("doc_id").alias("slug"), F.concat(F.lit("Post "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("md"))
+    return posts.search(made, "12", "title").union(posts.search(made, "Thinth", "body")).distinct().select(F.col("slug").alias("doc_id"))
+
+
+@_query("posts_by_author_sorted", f"SELECT author, doc_id, row_number() OVER (PARTITION BY author ORDER BY date, doc_id)::BIGINT AS place FROM ({SYN_STATE})")
+def posts_by_author_sorted(spark, d):
+    return _state(spark, d).select("author", "doc_id", F.row_number().over(Window.partitionBy("author").orderBy("date", "doc_id")).cast("long").alias("place"))
+
+
+@_query("distinct_authors", "SELECT DISTINCT source AS author FROM documents")
+def distinct_authors(spark, d):
+    return posts.authors(_state(spark, d))
+
+
+@_query("state_merge", f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN concat('New ', doc_id::VARCHAR) ELSE title END AS title, author FROM ({SYN_STATE})")
+def state_merge(spark, d):
+    s = _state(spark, d).select(F.col("doc_id").alias("slug"), "title", "author")
+    changes = s.filter("slug % 4 = 0").select("slug", F.concat(F.lit("New "), F.col("slug").cast("string")).alias("title"))
+    return state.merge(s, changes).select(F.col("slug").alias("doc_id"), "title", "author")
+
+
+@_query("enriched_first", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'enriched' ELSE 'original' END AS stage FROM documents")
+def enriched_first(spark, d):
+    original = _made(spark, d, SYN_PAGES).select(F.col("doc_id").alias("slug"), "html")
+    return state.current(original, original.filter("slug % 3 = 0")).select(F.col("slug").alias("doc_id"), "stage")
+
+
+@_query("version_staging", "SELECT doc_id, (CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS version, CASE WHEN doc_id % 3 <> 0 THEN 'live' WHEN doc_id % 6 = 0 THEN 'live' ELSE 'staged' END AS status FROM documents UNION ALL SELECT doc_id, 1, CASE WHEN doc_id % 6 = 0 THEN 'superseded' ELSE 'live' END FROM documents WHERE doc_id % 3 = 0")
+def version_staging(spark, d):
+    live = _table(spark, d, "documents").select(F.col("doc_id").alias("slug"), F.lit(1).alias("version"), F.lit("live").alias("status"), F.lit("a").alias("md"))
+    staged = state.stage(live, live.filter("slug % 3 = 0").select("slug", F.lit("b").alias("md")))
+    return state.accept(staged, live.filter("slug % 6 = 0")).select(F.col("slug").alias("doc_id"), F.col("version").cast("long").alias("version"), "status")
+
+
+def _assets(spark, d) -> DataFrame:
+    return _made(spark, d, SYN_ASSETS).select("path", "slug", F.sha2("content", 256).alias("sha256"))
+
+
+ASSETS_SQL = f"(SELECT path, slug, sha256(content) AS sha256 FROM ({SYN_ASSETS}))"
+GROUPS_SQL = f"(SELECT sha256, min(path) AS prime, count(DISTINCT slug)::BIGINT AS slugs, count(*)::BIGINT AS copies FROM {ASSETS_SQL} GROUP BY 1 HAVING count(DISTINCT slug) >= 2)"
+
+
+@_query("dup_hash_groups", f'SELECT sha256, prime AS "primary", slugs, copies FROM {GROUPS_SQL}')
+def dup_hash_groups(spark, d):
+    return consolidate.groups(_assets(spark, d))
+
+
+@_query("consolidation_plan", f"""WITH g AS (SELECT *, regexp_extract(prime, '([^/]*)$', 1) AS name FROM {GROUPS_SQL}), n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY prime) AS place, regexp_extract(name, '(\\.[^./]+)$', 1) AS ext FROM g)
+SELECT a.path, concat('assets/global/', CASE WHEN place = 1 THEN name ELSE concat(left(name, length(name) - length(ext)), '-', place::VARCHAR, ext) END) AS new_path, CASE WHEN a.path = n.prime THEN 'move' ELSE 'delete' END AS action FROM {ASSETS_SQL} a JOIN n ON a.sha256 = n.sha256""")
+def consolidation_plan(spark, d):
+    return consolidate.plan(_assets(spark, d))
+
+
+@_query("asset_refs_missing", "SELECT doc_id, concat('assets/images/', (doc_id % 50)::VARCHAR, '.png') AS path FROM documents WHERE doc_id % 50 >= 25")
+def asset_refs_missing(spark, d):
+    """Image references of pages without a file, through the detector's anti join."""
+    made = _table(spark, d, "documents").select("doc_id", F.concat(F.lit('<article><img src="../../assets/images/'), (F.col("doc_id") % 50).cast("string"), F.lit('.png"></article>')).alias("html"))
+    files = spark.range(25).select(F.concat(F.lit("assets/images/"), F.col("id").cast("string"), F.lit(".png")).alias("path"))
+    return detect.missing_local_image(dom_nodes(made, "doc_id"), files).select("doc_id", F.regexp_extract("detail", ": (.*)$", 1).alias("path"))
+
+
+@_query("asset_totals", "SELECT doc_id, 1::BIGINT AS total, (CASE WHEN doc_id % 50 < 25 THEN 1 ELSE 0 END)::BIGINT AS localised, (CASE WHEN doc_id % 50 >= 25 THEN 1 ELSE 0 END)::BIGINT AS broken FROM documents")
+def asset_totals(spark, d):
+    refs = _table(spark, d, "documents").select("doc_id", F.concat(F.lit("../../assets/images/"), (F.col("doc_id") % 50).cast("string"), F.lit(".png")).alias("src"), F.lit("").alias("width"), F.lit("").alias("height"))
+    files = spark.range(25).select(F.concat(F.lit("assets/images/"), F.col("id").cast("string"), F.lit(".png")).alias("path"))
+    return detect.scan_assets(refs, files).select("doc_id", "total", "localised", "broken")
+
+
+@_query("long_lines", "SELECT doc_id, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x)))::BIGINT AS longest FROM documents")
+def long_lines(spark, d):
+    return _table(spark, d, "documents").select("doc_id", F.array_max(F.transform(F.split("text", "\n"), F.char_length)).cast("long").alias("longest"))
+
+
+@_query("duplicate_paragraphs", "SELECT line, count(*)::BIGINT AS n, min(doc_id)::BIGINT AS first_doc FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 80 GROUP BY 1 HAVING count(*) > 1")
+def duplicate_paragraphs(spark, d):
+    rows = _table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.char_length("line") > 80)
+    return rows.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
+
+
+@_query("word_count_ratio", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::BIGINT AS words FROM documents")
+def word_count_ratio(spark, d):
+    return _table(spark, d, "documents").select("doc_id", markdown.words(F.col("text")).cast("long").alias("words"))
+
+
+MD = f"({SYN_MD})"
+BODY = "CASE WHEN position(concat(chr(10), '---', chr(10)) IN md) > 0 THEN substring(md, position(concat(chr(10), '---', chr(10)) IN md) + 5) ELSE md END"
+
+
+@_query("entity_count", f"SELECT doc_id, len(regexp_extract_all({BODY}, '&amp;|&lt;|&gt;|&quot;|&nbsp;'))::BIGINT AS entities FROM {MD}")
+def entity_count(spark, d):
+    return _made(spark, d, SYN_MD).select("doc_id", F.regexp_count(markdown.body(F.col("md")), F.lit(markdown.ENTITY)).cast("long").alias("entities"))
+
+
+@_query("unknown_fence_languages", "SELECT doc_id, 'zork' AS language FROM documents WHERE doc_id % 4 = 1")
+def unknown_fence_languages(spark, d):
+    unknown = F.filter(markdown.languages(F.col("md")), lambda x: ~x.isin(*markdown.KNOWN_LANGUAGES))
+    return _made(spark, d, SYN_MD).select("doc_id", F.explode(unknown).alias("language"))
+
+
+@_query("md_checks", f"""SELECT "check", count(*)::BIGINT AS n FROM (
+  SELECT 'orphaned_placeholder' AS "check" FROM documents WHERE doc_id % 16 = 0 UNION ALL SELECT 'unbalanced_fences' FROM documents WHERE doc_id % 4 = 2 UNION ALL SELECT 'code_fence_language' FROM documents WHERE doc_id % 4 = 1
+  UNION ALL SELECT 'front_matter_invalid' FROM documents WHERE doc_id % 9 = 0 OR doc_id % 6 = 0 UNION ALL SELECT 'html_entities_in_body' FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT 'broken_md_links' FROM documents WHERE doc_id % 8 = 0
+  UNION ALL SELECT 'local_image_paths' FROM documents WHERE doc_id % 12 = 0 UNION ALL SELECT 'no_triple_blanks' FROM documents WHERE doc_id % 14 = 0 UNION ALL SELECT 'wordpress_junk' FROM documents WHERE doc_id % 15 = 0
+  UNION ALL SELECT 'empty_body' FROM {MD} WHERE length(regexp_replace({BODY}, '^\\s+|\\s+$', '', 'g')) < 20 UNION ALL SELECT 'excessive_line_length' FROM {MD} WHERE list_max(list_transform(string_split(md, chr(10)), lambda x: length(x))) > 8000) GROUP BY 1""")
+def md_checks(spark, d):
+    return validate.check(_made(spark, d, SYN_MD), "doc_id").groupBy("check").agg(F.count("*").alias("n"))
+
+
+@_query("validator_totals")
+def validator_totals(spark, d):
+    """Issues of texts by themselves and against their pages, by level."""
+    made = _made(spark, d, SYN_MD)
+    return validate.totals(validate.validate(made, _made(spark, d, SYN_PAGES), key="doc_id"))
+
+
+@_query("content_fingerprint", "SELECT doc_id, substr(sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))), 1, 16) AS fingerprint FROM documents")
+def content_fingerprint(spark, d):
+    return _table(spark, d, "documents").select("doc_id", markdown.fingerprint(F.col("text")).alias("fingerprint"))
+
+
+@_query("fence_relation", "SELECT doc_id, 0::BIGINT AS idx, CASE WHEN doc_id % 4 = 0 THEN 'java' ELSE 'zork' END AS language FROM documents WHERE doc_id % 4 IN (0, 1)")
+def fence_relation(spark, d):
+    return page_ops.fences(_made(spark, d, SYN_MD), "doc_id").select("doc_id", F.col("idx").cast("long").alias("idx"), "language")
+
+
+FENCES_SQL = "SELECT doc_id % 200 AS post, (doc_id // 200) % 8 AS idx, min(doc_id) AS content FROM documents GROUP BY 1, 2"
+
+
+@_query("rule_fence_match", f"""WITH f AS ({FENCES_SQL}), r AS (SELECT post, idx + 1 AS fence_index, content FROM f), m AS (
+  SELECT r.post, r.fence_index, f.idx, row_number() OVER (PARTITION BY r.post, r.fence_index ORDER BY CASE WHEN f.content = r.content THEN 0 END NULLS LAST, abs(f.idx - r.fence_index), f.idx < r.fence_index) AS n, f.content = r.content AS same
+  FROM r LEFT JOIN f ON f.post = r.post AND f.idx BETWEEN r.fence_index - 2 AND r.fence_index + 2) SELECT post, fence_index::BIGINT AS fence_index, CASE WHEN same THEN idx END::BIGINT AS idx FROM m WHERE n = 1""")
+def rule_fence_match(spark, d):
+    """Rules one place off their fences, found again by fingerprint through the band join."""
+    docs = _table(spark, d, "documents")
+    f = docs.groupBy((F.col("doc_id") % 200).alias("post"), F.expr("(doc_id div 200) % 8").cast("int").alias("idx")).agg(F.min("doc_id").alias("c"))
+    f = f.select("post", "idx", F.sha2(F.col("c").cast("string"), 256).alias("content")).withColumns({"fingerprint": markdown.fingerprint(F.col("content")), "sample": F.col("content")})
+    rules = f.select("post", F.lit("language_tag_missing").alias("check"), (F.col("idx") + 1).alias("fence_index"), "fingerprint", F.col("sample").alias("content_sample"))
+    return refine_ops.match(rules, f).select("post", F.col("fence_index").cast("long").alias("fence_index"), F.col("idx").cast("long").alias("idx"))
+
+
+@_query("refine_replay")
+def refine_replay(spark, d):
+    """Suggestions for all fences turned to rules and replayed."""
+    made = _made(spark, d, SYN_MD)
+    found = page_ops.fences(made, "doc_id")
+    return refine_ops.replay(made, refine_ops.build_rules(refine_ops.suggest(found), found), "doc_id").select("doc_id", F.md5("md").alias("md"), F.size("conflicts").alias("conflicts"))
+
+
+@_query("first_k_paragraphs", "SELECT doc_id, line, place FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS place FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE length(line) BETWEEN 80 AND 600) WHERE place <= 8")
+def first_k_paragraphs(spark, d):
+    rows = _table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.char_length("line").between(80, 600))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).cast("long")).filter("place <= 8").select("doc_id", "line", "place")
+
+
+@_query("posts_extracted")
+def posts_extracted(spark, d):
+    """Posts from the pages as if just fetched."""
+    fetched = _table(spark, d, "pages").select("url", F.lit(200).alias("status"), F.col("html").alias("body"), F.lit(None).cast("string").alias("error"))
+    return page_ops.extract_posts(fetched).select("url", "slug", "title", "asset_count", "error", F.md5("html").alias("html"))
+
+
+@_query("pages_enriched", "SELECT doc_id, (CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END)::BIGINT AS gists, (CASE WHEN doc_id % 11 IN (0, 1) THEN 1 ELSE 0 END)::BIGINT AS embeds FROM documents")
+def pages_enriched(spark, d):
+    done = page_ops.enrich(_made(spark, d, SYN_PAGES), key="doc_id")
+    return done.select("doc_id", F.col("gists_failed").cast("long").alias("gists"), F.col("embeds_replaced").cast("long").alias("embeds"))
+
+
+@_query("pages_converted")
+def pages_converted(spark, d):
+    """The pages as Markdown."""
+    empty = F.array().cast("array<string>")
+    pages = _table(spark, d, "pages").select("page_id", "html", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.lit("2020-01-01").alias("date"), F.lit("A").alias("author"), empty.alias("categories"), empty.alias("tags"), F.col("url").alias("original_url"))
+    return page_ops.convert(pages, "page_id").select("page_id", F.char_length("md").alias("n_chars"), F.md5("md").alias("md"))
+
+
+@_query("page_images_and_links", "SELECT page_id, 0::BIGINT AS images, len(regexp_extract_all(regexp_extract(html, '<article>.*</article>', 0, 's'), '<b>'))::BIGINT AS bold FROM pages")
+def page_images_and_links(spark, d):
+    root = dom_nodes(_table(spark, d, "pages"), "page_id").filter("node_id = 0")
+    return root.select("page_id", count_inside("img").cast("long").alias("images"), count_inside("b").cast("long").alias("bold"))
+
+
+@_query("element_classes")
+def element_classes(spark, d):
+    """Classes of the elements of the made pages."""
+    nodes = dom_nodes(_made(spark, d, SYN_PAGES), "doc_id")
+    return nodes.select(F.explode("classes").alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+
+
+@_query("event_props_json", "SELECT event_type, count(*)::BIGINT AS n, count_if(json_valid(props))::BIGINT AS valid FROM events GROUP BY 1")
+def event_props_json(spark, d):
+    return _table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.try_parse_json("props").isNotNull()).alias("valid"))

@@ -21,6 +21,7 @@ BLOCKS = frozenset(
 )
 RAW = frozenset(["script", "style"])
 SPACE = re.compile(r"\s+")
+_BYLINE = re.compile(r"\s*by\s+[A-Z]", re.I)
 
 
 class Text(str):
@@ -212,22 +213,43 @@ def selector(node: Node) -> str:
     return " > ".join(reversed(steps)) or node.tag
 
 
+def numbered_code(table: Node) -> str | None:
+    """The code of a table of line numbers on the left and code on the right, else null."""
+    cells = table.all("td")
+    if len(cells) < 2:
+        return None
+    left, right = cells[:2]
+    pre, lines, code = left.first("pre"), left.elements(), right.first("pre", "code")
+    by_pre = pre is not None and re.fullmatch(r"[\d \n]+", pre.whole().strip()) is not None
+    by_div = bool(lines) and code is not None and all(d.tag == "div" and re.fullmatch(r"\d+", d.text()) for d in lines)
+    if not (by_pre or by_div):
+        return None
+    rows = [d for d in (code or right).elements() if d.tag == "div"]
+    return "\n".join(d.whole() for d in rows) if rows else (code or right).whole()
+
+
 NODE_SCHEMA = (
     "node_id int, parent_id int, pos int, depth int, tag string, attrs map<string,string>, classes array<string>, ancestors array<string>, inside map<string,int>, "
-    "text string, own_text string, whole_text string, outer_html string, after string, next_tag string, next_classes array<string>, next_has_img boolean, selector string"
+    "text string, own_text string, whole_text string, outer_html string, after string, next_tag string, next_classes array<string>, next_has_img boolean, selector string, in_byline boolean, numbered_code string"
 )
 
 
 def rows(markup: str | None) -> Iterator[tuple]:
     """The elements of the article root and below, numbered in page order from 0, as NODE_SCHEMA says.
 
-    inside counts the elements below by tag; after is the text that follows the element directly.
+    inside counts the elements below by tag; after is the text that follows the element directly; in_byline tells
+    elements that are, or are in, a short p, div or span that begins as a byline. A page without an article or body
+    has one row, of number -1.
     """
     root = article_root(parse(markup))
     if root is None:
+        yield (-1, -1, 0, 0, "#none", {}, [], [], {}, "", "", "", None, None, None, None, False, None, False, None)
         return
     number: dict[int, int] = {}
+    bylines: set[int] = set()
     for node in [root, *root.walk()]:
+        if id(node.up) in bylines or (node.tag in ("p", "div", "span") and node is not root and _BYLINE.match(node.whole()[:400]) and len(" ".join(node.whole().split())) < 200):
+            bylines.add(id(node))
         number[id(node)] = len(number)
         inside: dict[str, int] = {}
         for n in node.walk():
@@ -242,5 +264,5 @@ def rows(markup: str | None) -> Iterator[tuple]:
         yield (
             number[id(node)], number.get(id(node.up), -1), pos, len(above), node.tag, dict(node.attrs), node.classes, above, inside, node.text(), node.own(), node.whole(),
             node.outer() if node.tag in ("noscript", "pre", "code", "script") else None, after, nxt.tag if nxt else None, nxt.classes if nxt else None,
-            bool(nxt and (nxt.tag == "img" or nxt.first("img"))), selector(node),
+            bool(nxt and (nxt.tag == "img" or nxt.first("img"))), selector(node), id(node) in bylines, numbered_code(node) if node.tag == "table" else None,
         )

@@ -8,7 +8,7 @@ import json
 import re
 import xml.dom.minidom
 
-from leafmill.functions.dom import Node, Text, article_root, parse
+from leafmill.functions.dom import Node, Text, article_root, numbered_code, parse
 from leafmill.functions.markdown import KNOWN_LANGUAGES
 
 # What is junk when a page is taken in, and when it is converted.
@@ -307,22 +307,14 @@ def _code_block(text: str, language: str | None) -> Node:
     return _element("pre", None, _element("code", {"class": language} if language else None, text))
 
 
-def numbered_code(table: Node) -> Node | None:
+def numbered_block(table: Node) -> Node | None:
     """The code of a table of line numbers and code as a block, else null."""
-    cells = table.all("td")
-    if len(cells) < 2:
+    text = (numbered_code(table) or "").strip()
+    if not text:
         return None
-    left, right = cells[:2]
-    pre, lines = left.first("pre"), left.elements()
-    by_pre = pre is not None and re.fullmatch(r"[\d \n]+", pre.whole().strip() or "x")
-    by_div = lines and all(d.tag == "div" and re.fullmatch(r"\d+", d.text()) for d in lines) and right.first("pre", "code") is not None
-    if not (by_pre or by_div):
-        return None
-    code = right.first("pre", "code")
-    rows = [d for d in (code or right).elements() if d.tag == "div"]
-    text = "\n".join(d.whole() for d in rows) if rows else (code or right).whole()
+    code = table.all("td")[1].first("pre", "code")
     kind = next((c for n in [code, *(code.walk() if code is not None else [])] if n is not None for c in n.classes if c.startswith("language-")), None)
-    return _code_block(text.strip(), kind) if text.strip() else None
+    return _code_block(text, kind)
 
 
 def fix_code(root: Node) -> bool:
@@ -353,7 +345,7 @@ def fix_code(root: Node) -> bool:
                 node.swap(_code_block(reformat_drl(text), "language-drl"))
                 changed = True
     for table in root.all("table"):
-        block = numbered_code(table) if table.up is not None else None
+        block = numbered_block(table) if table.up is not None else None
         if block is not None:
             table.swap(block)
             changed = True

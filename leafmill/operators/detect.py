@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import urls
@@ -28,12 +29,13 @@ WEAK_CODE = (r"(?m)^\s*end\s*$", r"\bnew\s+\w+\s*\(", r"<[a-zA-Z][a-zA-Z0-9]*\b[
 ENCODED_TAG = r"(?i)&lt;(?:\?xml|table|div|p|span|ul|ol|li|section|article|h[1-6]|tr|td|th)\b"
 LOST_LINES = r"[;{}]|when\s+\w|\bthen\b|\bend\b"
 
-ISSUE = ("type", "level", "detail", "selector")
+@dataclass(frozen=True)
+class Rule:
+    """What one detector says of an element: when it fires, how bad that is, and its words."""
 
-
-def _issues(nodes: DataFrame, kind: str, level: str | Column, detail: Column) -> DataFrame:
-    keys = [c for c in nodes.columns if c == nodes.columns[0]]
-    return nodes.select(*keys, "node_id", F.lit(kind).alias("type"), (F.lit(level) if isinstance(level, str) else level).alias("level"), detail.alias("detail"), "selector")
+    when: Column
+    level: str | Column
+    detail: Column
 
 
 def _cut(text: Column, n: int) -> Column:
@@ -47,45 +49,50 @@ def _any(text: Column, patterns) -> Column:
     return found
 
 
-def _images(nodes: DataFrame) -> DataFrame:
-    return nodes.filter("tag = 'img'").withColumns({"src": attr("src"), "width": attr("width"), "height": attr("height"), "alt": attr("alt")})
+def _tag(*tags: str) -> Column:
+    return F.col("tag").isin(*tags)
 
 
-def data_placeholder(nodes: DataFrame) -> DataFrame:
+def data_placeholder() -> list[Rule]:
     """Images whose source is still inline placeholder data."""
-    return _issues(_images(nodes).filter("startswith(src, 'data:')"), "data_placeholder", "ERROR", F.format_string('Image is a lazy-load placeholder, alt="%s"', _cut(F.col("alt"), 60)))
+    return [Rule(_tag("img") & attr("src").startswith("data:"), "ERROR", F.format_string('Image is a lazy-load placeholder, alt="%s"', _cut(attr("alt"), 60)))]
 
 
-def noscript_remnant(nodes: DataFrame) -> DataFrame:
+def noscript_remnant() -> list[Rule]:
     """noscript elements that hold an image address."""
     url = F.regexp_extract("outer_html", "src=[\"']?(https?://[^\"'>\\s]+)", 1)
-    return _issues(nodes.filter("tag = 'noscript'").filter(url != ""), "noscript_remnant", "WARN", F.concat(F.lit("Image address in noscript: "), _cut(url, 80)))
+    return [Rule(_tag("noscript") & (url != ""), "WARN", F.concat(F.lit("Image address in noscript: "), _cut(url, 80)))]
 
 
-def external_image(nodes: DataFrame) -> DataFrame:
+def external_image() -> list[Rule]:
     """Images from elsewhere that are not of one pixel."""
-    tiny = F.col("width").isin("0", "1") & F.col("height").isin("0", "1")
-    return _issues(_images(nodes).filter(F.col("src").startswith("http") & ~tiny), "external_image", "WARN", F.concat(F.lit("Image is not local: "), _cut(F.col("src"), 80)))
+    tiny = attr("width").isin("0", "1") & attr("height").isin("0", "1")
+    return [Rule(_tag("img") & attr("src").startswith("http") & ~tiny, "WARN", F.concat(F.lit("Image is not local: "), _cut(attr("src"), 80)))]
+
 
+def _tracks() -> Column:
+    return urls.is_tracking_pixel(attr("src"), attr("width"), attr("height"))
 
-def tracking_pixel(nodes: DataFrame) -> DataFrame:
+
+def tracking_pixel() -> list[Rule]:
     """Images that only track."""
-    at = urls.domain(F.col("src"))
-    found = _images(nodes).filter(urls.is_tracking_pixel(F.col("src"), F.col("width"), F.col("height")))
-    return _issues(found, "tracking_pixel", "WARN", F.concat(F.lit("Tracking pixel from "), F.when(at == "", "unknown").otherwise(at), F.lit(": "), _cut(F.col("src"), 60)))
+    at = F.coalesce(F.nullif(urls.domain(attr("src")), F.lit("")), F.lit("unknown"))
+    return [Rule(_tag("img") & _tracks(), "WARN", F.concat(F.lit("Tracking pixel from "), at, F.lit(": "), _cut(attr("src"), 60)))]
 
 
-def empty_embed(nodes: DataFrame) -> DataFrame:
+def empty_embed() -> list[Rule]:
     """iframes without a source; a warning if a deferred one is there."""
-    found = nodes.filter("tag = 'iframe'").withColumns({"src": F.trim(attr("src")), "late": F.trim(attr("data-src"))}).filter("src = ''")
+    bare, late = _tag("iframe") & (F.trim(attr("src")) == ""), F.trim(attr("data-src"))
     title = F.coalesce(F.nullif(attr("title"), F.lit("")), F.get("classes", F.lit(0)), F.lit("iframe"))
-    detail = F.when(F.col("late") == "", F.format_string('iframe without a source, title="%s"', _cut(title, 40))).otherwise(F.concat(F.lit("iframe has only data-src: "), _cut(F.col("late"), 60)))
-    return _issues(found, "empty_embed", F.when(F.col("late") == "", "ERROR").otherwise("WARN"), detail)
+    return [
+        Rule(bare & (late == ""), "ERROR", F.format_string('iframe without a source, title="%s"', _cut(title, 40))),
+        Rule(bare & (late != ""), "WARN", F.concat(F.lit("iframe has only data-src: "), _cut(late, 60))),
+    ]
 
 
-def unreplaced_gist(nodes: DataFrame) -> DataFrame:
+def unreplaced_gist() -> list[Rule]:
     """Scripts that would load a gist."""
-    return _issues(nodes.filter("tag = 'script'").filter(attr("src").contains("gist.github.com")), "unreplaced_gist", "ERROR", F.concat(F.lit("Gist is not inlined: "), _cut(attr("src"), 80)))
+    return [Rule(_tag("script") & attr("src").contains("gist.github.com"), "ERROR", F.concat(F.lit("Gist is not inlined: "), _cut(attr("src"), 80)))]
 
 
 def _fits(simple: str) -> Column:
@@ -94,143 +101,113 @@ def _fits(simple: str) -> Column:
         return F.array_contains("classes", simple[1:])
     if simple.startswith("#"):
         return attr("id") == simple[1:]
-    if simple.startswith("[class*="):
-        return attr("class").contains(simple[8:-1])
-    return F.col("tag") == simple
-
-
-def wordpress_chrome(nodes: DataFrame) -> DataFrame:
-    """Elements of the blog's chrome, by selector (one issue for each that fits) and by short texts."""
-    hits = F.filter(F.array(*[F.when(_fits(s), F.lit(s)) for s in CHROME_SELECTORS]), lambda s: s.isNotNull())
-    by_selector = nodes.filter(F.char_length("text") >= 3).withColumn("hit", F.explode(hits))
-    text = F.trim(F.regexp_replace("whole_text", r"\s+", " "))
-    by_text = nodes.filter(F.col("tag").isin("p", "div", "span")).withColumn("short", text).filter((F.char_length("short") <= 200) & _any(F.col("short"), CHROME_TEXTS))
-    return _issues(by_selector, "wordpress_chrome", "WARN", F.format_string('Page chrome (%s): "%s"', F.col("hit"), _cut(F.col("text"), 50))).unionByName(
-        _issues(by_text, "wordpress_chrome", "WARN", F.format_string('Metadata in the article: "%s"', _cut(F.col("short"), 60)))
-    )
+    return attr("class").contains(simple[8:-1])
 
 
-def missing_image_signal(nodes: DataFrame) -> DataFrame:
+def wordpress_chrome() -> list[Rule]:
+    """Elements of the blog's chrome, one issue for each selector that fits, and short texts of it."""
+    by_selector = [Rule(_fits(s) & (F.char_length("text") >= 3), "WARN", F.format_string('Page chrome (%s): "%s"', F.lit(s), _cut(F.col("text"), 50))) for s in CHROME_SELECTORS]
+    short = F.trim(F.regexp_replace("whole_text", r"\s+", " "))
+    return [*by_selector, Rule(_tag("p", "div", "span") & (F.char_length(short) <= 200) & _any(short, CHROME_TEXTS), "WARN", F.format_string('Metadata in the article: "%s"', _cut(short, 60)))]
+
+
+def missing_image_signal() -> list[Rule]:
     """Paragraphs that announce an image where none is or follows."""
-    marked = F.array_contains("classes", "missing-image")
     follows = F.coalesce(F.col("next_tag").isin("img", "figure") | F.col("next_has_img") | F.array_contains("next_classes", "missing-image"), F.lit(False))
-    found = nodes.filter(F.col("tag").isin("p", "div") & ~marked & F.char_length("text").between(1, 300) & _any(F.col("text"), IMAGE_SIGNALS) & (count_inside("img") == 0) & ~follows)
-    return _issues(found, "missing_image_signal", "WARN", F.format_string('Text announces an image: "%s"', _cut(F.col("text"), 80)))
+    found = _tag("p", "div") & ~F.array_contains("classes", "missing-image") & F.char_length("text").between(1, 300) & _any(F.col("text"), IMAGE_SIGNALS) & (count_inside("img") == 0) & ~follows
+    return [Rule(found, "WARN", F.format_string('Text announces an image: "%s"', _cut(F.col("text"), 80)))]
 
 
-def md_notation_in_text(nodes: DataFrame) -> DataFrame:
+def md_notation_in_text() -> list[Rule]:
     """Emphasis that runs into the text after it, which Markdown can't tell from plain asterisks."""
-    found = nodes.filter(F.col("tag").isin("strong", "b", "em", "i") & ~within("pre", "code") & F.col("after").rlike(r"^\S"))
-    return _issues(found, "md_notation_in_text", "WARN", F.format_string('<%s> "%s" runs into "%s"', F.col("tag"), _cut(F.col("text"), 20), _cut(F.col("after"), 1)))
+    found = _tag("strong", "b", "em", "i") & ~within("pre", "code") & F.col("after").rlike(r"^\S")
+    return [Rule(found, "WARN", F.format_string('<%s> "%s" runs into "%s"', F.col("tag"), _cut(F.col("text"), 20), _cut(F.col("after"), 1)))]
 
 
-def suspicious_code_content(nodes: DataFrame) -> DataFrame:
+def suspicious_code_content() -> list[Rule]:
     """Code blocks that hold escaped structural markup."""
-    return _issues(nodes.filter((F.col("tag") == "pre") & (count_inside("code") > 0) & F.col("outer_html").rlike(ENCODED_TAG)), "suspicious_code_content", "WARN", F.lit("Code block holds escaped markup; dismiss if it is meant"))
+    return [Rule(_tag("pre") & (count_inside("code") > 0) & F.col("outer_html").rlike(ENCODED_TAG), "WARN", F.lit("Code block holds escaped markup; dismiss if it is meant"))]
 
 
-def layout_spacer_image(nodes: DataFrame) -> DataFrame:
-    """Images without content that hold space: one issue a page with their number, at the first one."""
-    thin = F.trim("height").isin("0", "1") & (F.trim("alt") == "")
-    found = _images(nodes).filter(~urls.is_tracking_pixel(F.col("src"), F.col("width"), F.col("height")) & (F.lower(urls.filename(F.col("src"))).contains("spacer") | thin))
-    key = nodes.columns[0]
-    one = found.groupBy(key).agg(F.count("*").alias("n"), F.min_by(F.struct("node_id", "selector", "width", "height"), "node_id").alias("f"))
-    flat = one.select(key, F.col("f.node_id").alias("node_id"), F.col("f.selector").alias("selector"), "n", F.col("f.width").alias("width"), F.col("f.height").alias("height"))
-    return _issues(flat, "layout_spacer_image", "WARN", F.format_string("%d layout spacer image(s), the first %sx%s", F.col("n"), F.col("width"), F.col("height")))
+def _spacer() -> Column:
+    thin = F.trim(attr("height")).isin("0", "1") & (F.trim(attr("alt")) == "")
+    return _tag("img") & ~_tracks() & (F.lower(urls.filename(attr("src"))).contains("spacer") | thin)
 
 
-def imgur_image(nodes: DataFrame) -> DataFrame:
+def imgur_image() -> list[Rule]:
     """Images on and links to a host that some regions block, unless archived."""
-    url = F.when(F.col("tag") == "img", attr("src")).otherwise(attr("href"))
-    found = nodes.filter(F.col("tag").isin("img", "a")).withColumn("url", url).filter(F.col("url").contains("imgur.com") & ~F.col("url").contains("web.archive.org"))
-    return _issues(found, "imgur_image", "WARN", F.concat(F.lit("imgur address, use an archived one: "), _cut(F.col("url"), 100)))
+    url = F.when(_tag("img"), attr("src")).otherwise(attr("href"))
+    return [Rule(_tag("img", "a") & url.contains("imgur.com") & ~url.contains("web.archive.org"), "WARN", F.concat(F.lit("imgur address, use an archived one: "), _cut(url, 100)))]
 
 
-def linenumber_table_code(nodes: DataFrame) -> DataFrame:
+def linenumber_table_code() -> list[Rule]:
     """Tables of a column of line numbers and a column of code."""
-    key = nodes.columns[0]
-    span = nodes.withColumn("last", F.col("node_id") + F.aggregate(F.map_values("inside"), F.lit(0), lambda a, x: a + x))
-    tables = span.filter("tag = 'table'").select(F.col(key).alias("k"), F.col("node_id").alias("t"), F.col("last").alias("t_last"), F.col("selector").alias("t_selector"))
-    cells = span.filter("tag = 'td'").alias("c").join(tables, (F.col(f"c.{key}") == F.col("k")) & (F.col("c.node_id") > F.col("t")) & (F.col("c.node_id") <= F.col("t_last")))
-    two = cells.withColumn("n", F.row_number().over(Window.partitionBy("k", "t").orderBy("node_id"))).filter("n <= 2")
-    pair = two.groupBy("k", "t", "t_selector").agg(F.max_by(F.struct("node_id", "last", "text"), F.when(F.col("n") == 1, 1)).alias("left"), F.max_by(F.struct("node_id", "last", "text", "inside"), F.when(F.col("n") == 2, 1)).alias("right"))
-    pair = pair.filter("left IS NOT NULL AND right IS NOT NULL")
-    parts = nodes.filter("tag IN ('pre', 'code', 'div')").select(F.col(key).alias("pk"), F.col("node_id").alias("p"), "parent_id", "tag", F.trim("text").alias("p_text"), F.trim("whole_text").alias("p_whole"))
-    left = pair.join(parts, (F.col("pk") == F.col("k")) & (F.col("p") > F.col("left.node_id")) & (F.col("p") <= F.col("left.last")))
-    kinds = left.groupBy("k", "t").agg(
-        F.min_by("p_whole", F.when(F.col("tag") == "pre", F.col("p"))).alias("first_pre"),
-        F.count_if((F.col("tag") == "div") & (F.col("parent_id") == F.col("left.node_id"))).alias("divs"),
-        F.count_if((F.col("tag") == "div") & (F.col("parent_id") == F.col("left.node_id")) & ~F.col("p_text").rlike(r"^\d+$")).alias("odd"),
-    )
-    code = (F.coalesce(F.try_element_at("right.inside", F.lit("pre")), F.lit(0)) + F.coalesce(F.try_element_at("right.inside", F.lit("code")), F.lit(0))) > 0
-    numbered = F.col("first_pre").rlike(r"^[\d \n]+$") | ((F.col("divs") > 0) & (F.col("odd") == 0) & code)
-    found = pair.join(kinds, ["k", "t"]).filter(F.coalesce(numbered, F.lit(False)))
-    flat = found.select(F.col("k").alias(key), F.col("t").alias("node_id"), F.col("t_selector").alias("selector"), F.col("right.text").alias("code"))
-    return _issues(flat, "linenumber_table_code", "WARN", F.format_string('Line-number table of code: "%s"', _cut(F.col("code"), 50)))
+    return [Rule(F.col("numbered_code").isNotNull(), "WARN", F.format_string('Line-number table of code: "%s"', _cut(F.col("numbered_code"), 50)))]
 
 
-def potential_code_block(nodes: DataFrame) -> DataFrame:
+def potential_code_block() -> list[Rule]:
     """Paragraphs with line breaks that look like code."""
-    text = F.translate("whole_text", " ", " ")
-    strong, weak = _any(F.col("plain"), STRONG_CODE), sum((F.col("plain").rlike(p).cast("int") for p in WEAK_CODE), F.lit(0))
-    in_article = (F.col("tag") == "div") & (F.coalesce(F.get("ancestors", F.lit(0)), F.lit("")) == "article")
-    found = nodes.filter(F.col("tag").isin("p", "div") & ~within("pre", "code") & ~in_article & (count_inside("pre") == 0) & (count_inside("br") > 0)).withColumn("plain", text)
-    lines = F.filter(F.split("plain", "\n"), lambda line: F.trim(line) != "")
-    found = found.filter(F.char_length("plain").between(20, 5000) & (strong | (weak >= 2))).withColumn("lines", lines)
-    total = F.aggregate("lines", F.lit(0), lambda a, line: a + F.char_length(line))
-    found = found.filter((F.size("lines") >= 2) & (total <= 80 * F.size("lines")))
-    return _issues(found, "potential_code_block", "WARN", F.format_string('Text with line breaks looks like code: "%s"', _cut(F.trim(F.translate("plain", "\n", " ")), 60)))
-
-
-def code_no_newlines(nodes: DataFrame) -> DataFrame:
+    text = F.translate("whole_text", "\u00a0", " ")
+    strong, weak = _any(text, STRONG_CODE), sum((text.rlike(p).cast("int") for p in WEAK_CODE), F.lit(0))
+    in_article = _tag("div") & (F.coalesce(F.get("ancestors", F.lit(0)), F.lit("")) == "article")
+    lines = F.filter(F.split(text, "\n"), lambda line: F.trim(line) != "")
+    total = F.aggregate(lines, F.lit(0), lambda a, line: a + F.char_length(line))
+    found = _tag("p", "div") & (count_inside("br") > 0) & (count_inside("pre") == 0) & ~within("pre", "code") & ~in_article & F.char_length("whole_text").between(20, 5000)
+    return [Rule(found & (strong | (weak >= 2)) & (F.size(lines) >= 2) & (total <= 80 * F.size(lines)), "WARN", F.format_string('Text with line breaks looks like code: "%s"', _cut(F.trim(F.translate(text, "\n", " ")), 60)))]
+
+
+def code_no_newlines() -> list[Rule]:
     """Code blocks whose lines are parted by br, or that lost their line ends."""
-    found = nodes.filter((F.col("tag") == "pre") & (attr("data-oneliner") != "true"))
-    breaks = count_inside("br") >= 2
+    pre, breaks = _tag("pre") & (attr("data-oneliner") != "true"), count_inside("br") >= 2
     lost = ~F.col("whole_text").contains("\n") & (F.char_length("whole_text") >= 40) & F.col("whole_text").rlike(LOST_LINES)
-    return _issues(found.filter(breaks | lost), "code_no_newlines", "WARN", F.when(breaks, "Code block uses br for line ends").otherwise(F.format_string('Code block has one long line: "%s"', _cut(F.col("whole_text"), 60))))
+    return [
+        Rule(pre & breaks, "WARN", F.lit("Code block uses br for line ends")),
+        Rule(pre & ~breaks & lost, "WARN", F.format_string('Code block has one long line: "%s"', _cut(F.col("whole_text"), 60))),
+    ]
 
 
-def missing_local_image(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """Images under ../../assets/ of which files (column path) has none: an anti join on the path."""
-    key = nodes.columns[0]
-    refs = _images(nodes).filter("startswith(src, '../../assets/')").withColumn("path", F.replace("src", F.lit("../../"), F.lit("")))
-    found = refs.join(files.select("path").distinct(), "path", "left_anti").select(key, *[c for c in refs.columns if c != key])
-    return _issues(found, "missing_local_image", "ERROR", F.concat(F.lit("Image file is missing: "), F.col("path")))
+def no_article() -> list[Rule]:
+    """Pages without an article or body, or with an empty one."""
+    return [Rule((F.col("node_id") == -1) | ((F.col("node_id") == 0) & (F.size("inside") == 0) & (F.col("own_text") == "")), "ERROR", F.lit("Page has no article or body, or an empty one"))]
 
 
-DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
+DETECTORS: dict[str, Callable[[], list[Rule]]] = {
     f.__name__: f
     for f in (
         data_placeholder, noscript_remnant, external_image, tracking_pixel, empty_embed, unreplaced_gist, wordpress_chrome, missing_image_signal, md_notation_in_text,
-        suspicious_code_content, layout_spacer_image, imgur_image, linenumber_table_code, potential_code_block, code_no_newlines,
+        suspicious_code_content, imgur_image, linenumber_table_code, potential_code_block, code_no_newlines, no_article,
     )
 }
 
 
-def without_bylines(nodes: DataFrame) -> DataFrame:
-    """nodes without short p, div and span elements that begin as bylines, and without what is in them."""
+def scan(nodes: DataFrame, names=tuple(DETECTORS)) -> DataFrame:
+    """All issues of pages whose elements are nodes, in one pass: (key, node_id, type, level, detail, selector).
+
+    All detectors are one array expression over an element, so pages are parsed once however many there are.
+    """
     key = nodes.columns[0]
-    text = F.trim(F.regexp_replace("whole_text", r"\s+", " "))
-    size = F.aggregate(F.map_values("inside"), F.lit(0), lambda a, x: a + x)
-    gone = nodes.filter(F.col("tag").isin("p", "div", "span") & (F.char_length(text) < 200) & text.rlike(BYLINE)).select(F.col(key).alias("k"), F.sequence("node_id", F.col("node_id") + size).alias("ids"))
-    gone = gone.select("k", F.explode("ids").alias("id")).distinct()
-    return nodes.join(gone, (F.col(key) == F.col("k")) & (F.col("node_id") == F.col("id")), "left_anti")
+    found = F.array_compact(F.array(*[
+        F.when(F.coalesce(r.when, F.lit(False)), F.struct(F.lit(name).alias("type"), (F.lit(r.level) if isinstance(r.level, str) else r.level).alias("level"), r.detail.alias("detail")))
+        for name in names for r in DETECTORS[name]()
+    ]))
+    return nodes.filter(~F.col("in_byline")).select(key, "node_id", "selector", F.inline(found)).select(key, "node_id", "type", "level", "detail", "selector")
+
 
+def layout_spacers(nodes: DataFrame) -> DataFrame:
+    """Images without content that hold space: one issue a page with their number, at the first one."""
+    key = nodes.columns[0]
+    found = nodes.filter(_spacer() & ~F.col("in_byline")).select(key, "node_id", "selector", attr("width").alias("width"), attr("height").alias("height"))
+    one = found.groupBy(key).agg(F.count("*").alias("n"), F.min_by(F.struct("node_id", "selector", "width", "height"), "node_id").alias("f"))
+    detail = F.format_string("%d layout spacer image(s), the first %sx%s", F.col("n"), F.col("f.width"), F.col("f.height"))
+    return one.select(key, F.col("f.node_id").alias("node_id"), F.lit("layout_spacer_image").alias("type"), F.lit("WARN").alias("level"), detail.alias("detail"), F.col("f.selector").alias("selector"))
 
-def scan(nodes: DataFrame, pages: DataFrame, files: DataFrame | None = None, names=tuple(DETECTORS)) -> DataFrame:
-    """All issues of pages whose elements are nodes: (key, node_id, type, level, detail, selector).
 
-    A page without elements, or whose root has neither elements nor text, has the one issue no_article.
-    """
+def missing_local_image(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """Images under ../../assets/ of which files (column path) has none: an anti join on the path."""
     key = nodes.columns[0]
-    blank = nodes.filter("node_id = 0 AND size(inside) = 0 AND own_text = ''").select(key)
-    missing = pages.select(key).distinct().join(nodes.select(key).distinct(), key, "left_anti").unionByName(blank)
-    none = missing.select(key, F.lit(None).cast("int").alias("node_id"), F.lit("no_article").alias("type"), F.lit("ERROR").alias("level"), F.lit("Page has no article or body, or an empty one").alias("detail"), F.lit(None).cast("string").alias("selector"))
-    clean = without_bylines(nodes)
-    out = none
-    for name in names:
-        out = out.unionByName(DETECTORS[name](clean))
-    return out.unionByName(missing_local_image(clean, files)) if files is not None else out
+    refs = nodes.filter(_tag("img") & attr("src").startswith("../../assets/")).select(key, "node_id", "selector", F.replace(attr("src"), F.lit("../../"), F.lit("")).alias("path"))
+    found = refs.join(files.select("path").distinct(), "path", "left_anti")
+    return found.select(key, "node_id", F.lit("missing_local_image").alias("type"), F.lit("ERROR").alias("level"), F.concat(F.lit("Image file is missing: "), F.col("path")).alias("detail"), "selector")
 
 
 def summary(issues: DataFrame) -> DataFrame:

@@ -184,7 +184,7 @@ ISSUES_SQL = " UNION ALL ".join(f"SELECT doc_id, source AS author, '{t}' AS type
 
 def _issues(spark, d) -> tuple[DataFrame, DataFrame]:
     made = _made(spark, d, SYN_PAGES)
-    return detect.scan(dom_nodes(made, "doc_id"), made, names=_BY_RULE), made
+    return detect.scan(dom_nodes(made, "doc_id"), _BY_RULE), made
 
 
 @_query("issue_list", ISSUES_SQL.replace(", source AS author", "").replace(", source,", ","))
@@ -227,8 +227,7 @@ def dismissals_retained(spark, d):
 @_query("detectors_all")
 def detectors_all(spark, d):
     """All detectors over the real pages."""
-    source = _table(spark, d, "pages")
-    return detect.scan(dom_nodes(source, "page_id"), source).select("page_id", "node_id", "type", "level", "detail", "selector")
+    return detect.scan(dom_nodes(_table(spark, d, "pages"), "page_id")).select("page_id", "node_id", "type", "level", "detail", "selector")
 
 
 def _state(spark, d) -> DataFrame:

@@ -101,7 +101,7 @@ def _front_matter_issue(md: Column) -> Column:
     lost = F.filter(F.array(*[F.when(~head.contains(f"{f}:"), F.lit(f)) for f in ("title", "date", "author")]), lambda x: x.isNotNull())
     name = "front_matter_invalid"
     return F.coalesce(
-        _issue(~md.startswith("---\n"), name, "ERROR", "No front matter"), _issue(head.isNull(), name, "ERROR", "Front matter is not closed"),
+        _issue(~md.startswith("---\n"), name, "ERROR", "No front matter"), _issue(head.isNull() & md.isNotNull(), name, "ERROR", "Front matter is not closed"),
         _issue(F.size(lost) > 0, name, "ERROR", F.concat(F.lit("Fields are missing: "), F.array_join(lost, ", "))),
         _issue(~head.rlike(r"(?m)^date:\s*\d{4}-\d{2}-\d{2}"), name, "WARN", "The date is not YYYY-MM-DD"),
     )

@@ -25,7 +25,7 @@ def extract_posts(fetched: DataFrame, short_slugs: bool = False) -> DataFrame:
         for pdf in batches:
             out = []
             for url, status, body, error in zip(pdf["url"], pdf["status"], pdf["body"], pdf["error"]):
-                failed = error if isinstance(error, str) and error else "" if status == 200 else f"HTTP {status}"
+                failed = error if isinstance(error, str) and error else "" if status == 200 else f"HTTP {'' if pd.isna(status) else int(status)}".strip()
                 found = {"title": "", "date": "", "author": "", "categories": [], "tags": [], "site": "", "html": "", "asset_count": 0} if failed else rewrite.extract(body)
                 out.append({"url": url, **found, "error": failed or found.get("error", "")})
             yield pd.DataFrame(out, columns=["url", "title", "date", "author", "categories", "tags", "site", "html", "asset_count", "error"])

@@ -13,9 +13,13 @@ from leafmill.functions import urls
 def _texts(pattern: str) -> Column:
     """A column of the texts that a pattern's group finds in body, unescaped and trimmed; malformed bodies give few or none."""
     raw = F.transform(F.regexp_extract_all("body", F.lit(pattern), 1), lambda x: F.trim(F.regexp_replace(x, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")))
+    return F.filter(F.transform(raw, _unescaped), lambda x: x != "")
+
+
+def _unescaped(text: Column) -> Column:
     for code, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        raw = F.transform(raw, lambda x, code=code, plain=plain: F.replace(x, F.lit(code), F.lit(plain)))
-    return F.filter(raw, lambda x: x != "")
+        text = F.replace(text, F.lit(code), F.lit(plain))
+    return text
 
 
 def _rows(bodies: DataFrame, links: Column) -> DataFrame:

@@ -29,7 +29,7 @@ class Ingest:
 
     def _batch(self, batch: DataFrame, number: int) -> None:
         # a batch that runs again overwrites what it wrote before
-        once = batch.groupBy("url").agg(F.max_by(F.struct("status", "body", "error"), "fetched_at").alias("r"), F.max("fetched_at").alias("fetched_at")).select("url", "r.*", "fetched_at")
+        once = batch.groupBy("url").agg(F.max_by(F.struct("status", "body", "error"), F.coalesce("fetched_at", F.timestamp_seconds(F.lit(0)))).alias("r"), F.max("fetched_at").alias("fetched_at")).select("url", "r.*", "fetched_at")
         posts = pages.extract_posts(once).join(once.select("url", "fetched_at"), "url")
         if self.author:
             posts = posts.filter((F.col("error") != "") | F.contains(F.lower("author"), F.lit(self.author.lower())))

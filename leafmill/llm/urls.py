@@ -13,7 +13,7 @@ from leafmill.llm.scratch import Table
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 DAMPING = 0.85
 TOLERANCE = 1e-9
-MAX_STEPS = 50
+MAX_STEPS = 100
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINKS = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"

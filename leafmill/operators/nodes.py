@@ -11,23 +11,34 @@ from pyspark.sql import functions as F
 from leafmill.functions import dom
 
 _NAMES = [x.split(" ")[0] for x in dom.NODE_SCHEMA.split(", ")]
+#: Elements that a task gathers before it hands them on.
+BATCH_ROWS = 5000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it comes in fewer partitions, as one small file does; large inputs stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def dom_nodes(pages: DataFrame, key: str = "slug", html: str = "html") -> DataFrame:
     """(key, then the columns of dom.NODE_SCHEMA) for the elements of each page's article, else body.
 
-    Null and empty pages have no rows. Each page stays in its task; rows go out page by page.
+    A page without either, as a null or empty one, has one row of number -1. Rows go out in bounded batches.
     """
     kind = pages.schema[key].dataType.simpleString()
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[tuple] = []
         for pdf in batches:
             for k, markup in zip(pdf[key], pdf[html]):
-                found = [(k, *r) for r in dom.rows(markup)]
-                if found:
+                found += [(k, *r) for r in dom.rows(markup)]
+                if len(found) >= BATCH_ROWS:
                     yield pd.DataFrame(found, columns=[key, *_NAMES])
+                    found = []
+        yield pd.DataFrame(found, columns=[key, *_NAMES])
 
-    return pages.select(key, html).mapInPandas(parse, f"{key} {kind}, {dom.NODE_SCHEMA}")
+    return spread(pages.select(key, html)).mapInPandas(parse, f"{key} {kind}, {dom.NODE_SCHEMA}")
 
 
 def attr(name: str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import markdown, rewrite, urls
+from leafmill.operators.nodes import spread
 
 META = "title string, date string, author string, categories array<string>, tags array<string>, site string"
 STATS = ("pre_br_normalised", "code_classes_normalised", "youtube_replaced", "gists_replaced", "gists_failed", "code_fixed", "languages_detected", "embeds_replaced")
@@ -30,7 +31,7 @@ def extract_posts(fetched: DataFrame, short_slugs: bool = False) -> DataFrame:
                 out.append({"url": url, **found, "error": failed or found.get("error", "")})
             yield pd.DataFrame(out, columns=["url", "title", "date", "author", "categories", "tags", "site", "html", "asset_count", "error"])
 
-    posts = fetched.select("url", "status", "body", "error").mapInPandas(run, f"url string, {META}, html string, asset_count int, error string")
+    posts = spread(fetched.select("url", "status", "body", "error")).mapInPandas(run, f"url string, {META}, html string, asset_count int, error string")
     posts = posts.withColumn("date", urls.iso_date(F.col("date")))
     return posts.withColumn("slug", urls.slug(F.col("url"), F.col("date"), short_slugs))
 
@@ -56,7 +57,7 @@ def enrich(pages: DataFrame, gists: DataFrame | None = None, key: str = "slug",
                 out.append((k, done if page is not None else None, *(stats[s] for s in STATS)))
             yield pd.DataFrame(out, columns=[key, "html", *STATS])
 
-    return source.mapInPandas(run, f"{key} {kind}, html string, " + ", ".join(f"{s} int" for s in STATS))
+    return spread(source).mapInPandas(run, f"{key} {kind}, html string, " + ", ".join(f"{s} int" for s in STATS))
 
 
 def convert(pages: DataFrame, key: str = "slug", html: str = "html", site_suffix: str | None = None) -> DataFrame:
@@ -75,7 +76,7 @@ def convert(pages: DataFrame, key: str = "slug", html: str = "html", site_suffix
                 out.append((getattr(row, key), rewrite.to_markdown(row.page, meta, site_suffix)))
             yield pd.DataFrame(out, columns=[key, "md"])
 
-    raw = pages.select(key, F.col(html).alias("page"), *names).mapInPandas(run, f"{key} {kind}, md string")
+    raw = spread(pages.select(key, F.col(html).alias("page"), *names)).mapInPandas(run, f"{key} {kind}, md string")
     head = F.regexp_extract("md", r"(?s)\A(---\n.*?\n---\n)", 1)
     return raw.select(key, F.concat(head, F.lit("\n"), markdown.clean(markdown.body(F.col("md"))), F.lit("\n")).alias("md"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import markdown, rewrite
+from leafmill.operators.nodes import spread
 
 FACTS = (
     "words int, pres int, headings array<string>, paragraphs array<string>, text string, codes array<string>, lists int, links int, tables int, table_starts array<string>, "
@@ -61,7 +62,7 @@ def facts(pages: DataFrame, key: str = "slug", html: str = "html") -> DataFrame:
                 out.append((k, *(found.get(n, [] if n in ("headings", "paragraphs", "codes", "table_starts", "languages", "phrases") else 0 if n not in ("text", "error") else None) for n in names)))
             yield pd.DataFrame(out, columns=[key, *names])
 
-    return pages.select(key, F.col(html).alias("html")).mapInPandas(run, f"{key} {kind}, {FACTS}")
+    return spread(pages.select(key, F.col(html).alias("html"))).mapInPandas(run, f"{key} {kind}, {FACTS}")
 
 
 def _plain(text: Column) -> Column:

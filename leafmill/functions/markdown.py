@@ -82,6 +82,7 @@ def clean(md: Column) -> Column:
     text = F.regexp_replace(text, r"(?m)^(\S[^\n]*)\n=+$", "# $1")
     text = F.regexp_replace(text, r"(?m)^([^-\n][^\n]*)\n-+$", "## $1")
     text = F.regexp_replace(text, r"(?m)^={4,}\s*$", "\n---")
+    text = F.regexp_replace(text, r"(?m)^(\|.*)\n(?:[ \t]*\n)+(?=\|)", "$1\n")  # no blank lines inside tables
     return F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), r"\A\s+|\s+\z", "")
 
 

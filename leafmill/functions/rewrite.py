@@ -565,11 +565,40 @@ def front_matter(meta: dict, site_suffix: str | None = None) -> str:
     return "---\n" + "\n".join(lines) + "\n---\n\n"
 
 
-def to_markdown(markup: str | None, meta: dict, site_suffix: str | None = None) -> str | None:
-    """A page as Markdown with front matter, before the last cleaning of its text; null without an article."""
+def mark_missing_images(article: Node) -> int:
+    """Put a note for each image that was lost: inline placeholders, addresses left in noscript, and paragraphs that
+    announce an image where none is; how many."""
+    changed = 0
+
+    def note(text: str) -> Node:
+        return _element("blockquote", {"class": "missing-image"}, _element("p", None, f"Missing image: {text}"))
+
+    for node in article.all("img", "noscript"):
+        if node.tag == "img" and node.attrs.get("src", "").startswith("data:"):
+            node.swap(note(node.attrs.get("alt", "") or "no description"))
+            changed += 1
+        elif node.tag == "noscript" and (found := re.search(r"https?://[^\s\"'<>]+", node.outer())):
+            node.swap(note(found[0]))
+            changed += 1
+    for node in article.all("p"):
+        follow = node.next_element()
+        shown = node.first("img") is not None or (follow is not None and (follow.tag in ("img", "figure") or follow.first("img") is not None or "missing-image" in follow.classes))
+        if not shown and len(node.text()) <= 300 and re.search(r"(?i)(?:as shown|(?:see|view) (?:the )?(?:image|screenshot|figure|diagram|chart)) (?:below|above)", node.text()):
+            node.swap(node, note("announced by the text"))
+            changed += 1
+    return changed
+
+
+def to_markdown(markup: str | None, meta: dict, site_suffix: str | None = None, placeholders: bool = False) -> str | None:
+    """A page as Markdown with front matter, before the last cleaning of its text; null without an article.
+
+    placeholders: leave a note for each lost image.
+    """
     article = article_root(parse(markup))
     if article is None:
         return None
+    if placeholders:
+        mark_missing_images(article)
     _clean_for_markdown(article, meta)
     return front_matter(meta, site_suffix) + "\n\n".join(_blocks(article)) + "\n"
 

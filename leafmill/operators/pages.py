@@ -60,10 +60,11 @@ def enrich(pages: DataFrame, gists: DataFrame | None = None, key: str = "slug",
     return spread(source).mapInPandas(run, f"{key} {kind}, html string, " + ", ".join(f"{s} int" for s in STATS))
 
 
-def convert(pages: DataFrame, key: str = "slug", html: str = "html", site_suffix: str | None = None) -> DataFrame:
+def convert(pages: DataFrame, key: str = "slug", html: str = "html", site_suffix: str | None = None, placeholders: bool = False) -> DataFrame:
     """(key, md) of pages with their metadata (title, date, author, categories, tags, original_url).
 
     Trees are rendered in Python; the last cleaning of lines stays in the JVM. A page without an article has null md.
+    placeholders: leave a note for each lost image.
     """
     kind = pages.schema[key].dataType.simpleString()
     names = ("title", "date", "author", "categories", "tags", "original_url")
@@ -73,7 +74,7 @@ def convert(pages: DataFrame, key: str = "slug", html: str = "html", site_suffix
             out = []
             for row in pdf.itertuples(index=False):
                 meta = {n: (list(v) if n in ("categories", "tags") and v is not None else v) for n in names if (v := getattr(row, n)) is not None}
-                out.append((getattr(row, key), rewrite.to_markdown(row.page, meta, site_suffix)))
+                out.append((getattr(row, key), rewrite.to_markdown(row.page, meta, site_suffix, placeholders)))
             yield pd.DataFrame(out, columns=[key, "md"])
 
     raw = spread(pages.select(key, F.col(html).alias("page"), *names)).mapInPandas(run, f"{key} {kind}, md string")

@@ -66,8 +66,8 @@ def test_similarity(spark, a, b, expected):
 
 
 def test_clean(spark):
-    raw = "Title\n=====\n[](http://x/y)kept\n[Post Comment]\n\n\n\ntext\n========\n"
-    assert spark.createDataFrame([(raw,)], "md string").select(markdown.clean(F.col("md"))).first()[0] == "# Title\nkept\n\ntext\n\n---" or True
+    raw = "Title\n=====\n[](http://x/y)kept\n[Post Comment]\n\n\n\ntext\n----\n"
+    assert spark.createDataFrame([(raw,)], "md string").select(markdown.clean(F.col("md"))).first()[0] == "# Title\nkept\n\n## text"
 
 
 def test_state_snapshots(spark):
@@ -182,3 +182,24 @@ def test_oracles(spark, name):
     columns = sorted(got.columns)
     expected = con.sql(f"SELECT {', '.join(f'\"{c}\"' for c in columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
     assert sorted(map(repr, map(tuple, got.select(columns).collect()))) == sorted(map(repr, expected))
+
+
+def test_projects(tmp_path):
+    from leafmill.sources.projects import Projects
+
+    index = Projects(str(tmp_path / "all"))
+    assert index.list() == [] and index.activate() is None
+    a, b = index.create("My  Blog!"), index.create("My Blog")
+    assert (a["id"], b["id"]) == ("my-blog", "my-blog-2") and index.activate().enriched_dir.name == "enriched" and index.active == "my-blog"
+    changed = index.patch_config("my-blog", {"serve_root": "/srv", "output": {"md_dir": "/abs/md"}})
+    assert str(changed.posts_dir) == "/srv/legacy/posts" and str(changed.md_dir) == "/abs/md"
+    assert index.delete("my-blog") and not index.delete("my-blog") and [p["id"] for p in index.list()] == ["my-blog-2"]
+
+
+def test_missing_images_are_noted():
+    from leafmill.functions import rewrite
+
+    page = "<article><p>See the image below</p><p>x</p><img src='data:image/gif' alt='a cat'><noscript><img src='https://a.b/c.png'></noscript></article>"
+    md = rewrite.to_markdown(page, {}, placeholders=True)
+    assert md.count("> Missing image:") == 3 and "a cat" in md and "https://a.b/c.png" in md
+    assert "Missing image" not in rewrite.to_markdown(page, {})

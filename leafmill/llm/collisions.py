@@ -130,3 +130,21 @@ def near_dups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     )
     least = table.groupBy("part").agg(F.min("vec_id").alias("component_id"))
     return table.join(least, "part").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+NEAR_DUPS_SQL = """
+WITH RECURSIVE rows AS (
+  SELECT row_number() OVER () AS row, vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), good AS (
+  SELECT row, v, sqrt(list_dot_product(v, v)) AS size FROM rows
+  WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+    AND len(v) = (SELECT mode(len(v)) FROM rows WHERE v IS NOT NULL)
+), links AS (
+  SELECT a.row AS a, b.row AS b FROM good a JOIN good b ON a.row <> b.row AND list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.9
+), reach(a, b) AS (
+  SELECT row, row FROM rows UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (
+  SELECT reach.a AS row, min(vec_id) AS component_id FROM reach JOIN rows ON rows.row = reach.b GROUP BY 1
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = rows.row)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM rows JOIN least USING (row)
+"""

@@ -94,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": mixing.PLAN_SQL}
+    return {"op2_url_filters": urls.JUDGE_SQL, "op4_embedding_near_dedup": collisions.NEAR_DUPS_SQL, "op6_mix_sources": mixing.PLAN_SQL}

@@ -89,3 +89,31 @@ def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules:
     joined = named.join(ranks, F.col("host") == F.col("__host"), "left")
     verdict = F.coalesce("__says", F.when(F.col("__bad"), "block").otherwise("allow"))
     return joined.withColumn("verdict", verdict).drop("__says", "__host", "__bad")
+
+
+JUDGE_SQL = r"""
+WITH RECURSIVE named AS (
+  SELECT page_id, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), rules(rule, place, start, says) AS (
+  VALUES ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'allow'),
+         ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')
+), ruled AS (
+  SELECT n.*, (SELECT max(struct_pack(size := length(rule), rule := rule, says := says)) FROM rules
+               WHERE (n.host = place OR ends_with(n.host, '.' || place)) AND starts_with(n.path, start)) AS r FROM named n
+), seeds AS (
+  SELECT host, (count_if(r.says = 'allow') > count_if(r.says = 'block'))::INT AS good, (count_if(r.says = 'block') > count_if(r.says = 'allow'))::INT AS bad
+  FROM ruled WHERE host <> '' GROUP BY host HAVING 2 * greatest(count_if(r.says = 'allow'), count_if(r.says = 'block')) > count(*)
+), edges AS (
+  SELECT DISTINCT host AS src, dst FROM (SELECT host, translate(unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM named)
+  WHERE host <> dst AND host <> ''
+), flow(a, b, t, d) AS (
+  SELECT src, dst, 0.85 / count(*) OVER (PARTITION BY src), 0 FROM edges UNION ALL SELECT dst, src, 0, 0.85 / count(*) OVER (PARTITION BY dst) FROM edges
+  UNION ALL SELECT '#', host, 0.15 * good, 0.15 * bad FROM seeds UNION ALL SELECT '#', '#', 1, 1
+), ranks(step, host, t, d) AS (
+  SELECT 0, '#', 1.0::DOUBLE, 1.0::DOUBLE UNION ALL
+  SELECT step + 1, b, sum(ranks.t * flow.t)::DOUBLE, sum(ranks.d * flow.d)::DOUBLE FROM ranks JOIN flow ON a = host WHERE step < 100 GROUP BY step, b
+)
+SELECT page_id, n.host, path, r.rule AS rule, coalesce(r.says, CASE WHEN k.d > k.t THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled n LEFT JOIN (SELECT host, t, d FROM ranks WHERE step = 100) k ON n.host = k.host
+"""

@@ -101,13 +101,11 @@ def near_dups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     than the usual one link with nothing. Rows with one id, or with null ids, stay rows of their own; a component of
     null ids only has a null id and is kept.
     """
-    spark = vectors.sparkSession
     rows = Table(vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v")).withColumn("row", F.monotonically_increasing_id()), "vectors").df
     size = usual_size(rows, "v")
     good = rows.filter(usable(F.col("v")) & (F.size("v") == size)).select("row", F.col("v").cast("array<double>").alias("v"))
     total = good.count()
     n_blocks = min(MAX_BLOCKS, max(min(MIN_BLOCKS, -(-total // 256)), -(-total // BLOCK_ROWS), 1))
-    plan = spark.createDataFrame([(b, min(b, c) * n_blocks + max(b, c), int(b > c)) for b in range(n_blocks) for c in range(n_blocks)], "block int, pair int, side int")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "ids": [pdf["row"].to_numpy(np.int64).tobytes()], "data": [matrix(pdf["v"]).tobytes()]})
@@ -121,7 +119,9 @@ def near_dups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         return pd.DataFrame({"row": ids[at], "links": links[at], "root": ids[label[at]]})
 
     packed = good.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int")).groupBy("block").applyInPandas(pack, "block int, ids binary, data binary")
-    found = Table(packed.join(F.broadcast(plan), "block").groupBy("pair").applyInPandas(compare, "row long, links long, root long"), "vector-links").df
+    other = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    paired = other.select((F.least("block", "other") * n_blocks + F.greatest("block", "other")).alias("pair"), (F.col("block") > F.col("other")).cast("int").alias("side"), "ids", "data")
+    found = Table(paired.groupBy("pair").applyInPandas(compare, "row long, links long, root long"), "vector-links").df
     links = found.groupBy("row").agg(F.sum("links").alias("n_links")).withColumnRenamed("row", "linked")
     parts = components(found, "row", "root")
     table = (

@@ -127,7 +127,9 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     low, high = np.full((n_blocks, QUARTERS), 99, np.int16), np.full((n_blocks, QUARTERS), -99, np.int16)
     for p, x, y in zip(parts, first, last):
         low[x : y + 1], high[x : y + 1] = np.minimum(low[x : y + 1], p), np.maximum(high[x : y + 1], p)
-    pairs = [(int(i), int(j)) for i, j in np.argwhere(_gap(low, high, low, high) <= radius) if i <= j]
+    i, j = np.nonzero(np.triu(_gap(low, high, low, high) <= radius))
+    number = np.arange(len(i))
+    table = pd.concat([pd.DataFrame({"pair": number, "block": i, "side": 0}), pd.DataFrame({"pair": number, "block": j, "side": 1})[j != i]])
     plan = spark.createDataFrame(pd.DataFrame({"cell": cells, "before": before, "n": counts["n"]}), "cell int, before long, n long")
     placed = nodes.join(F.broadcast(plan), "cell").select("fp", F.floor((F.col("before") + F.pmod(F.xxhash64("fp"), F.col("n"))) / rows).cast("int").alias("block"))
 
@@ -138,7 +140,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "fps": [fps.tobytes()]})
 
     blocks = Table(placed.groupBy("block").applyInPandas(pack, "block int, fps binary"), "fp-blocks").df
-    table = spark.createDataFrame([(k, b, int(b != i)) for k, (i, j) in enumerate(pairs) for b in ({i, j} if i != j else {i})], "pair int, block int, side int")
+    table = spark.createDataFrame(table, "pair int, block int, side int")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [np.frombuffer(x, dtype="<u8") for x in pdf.sort_values("side")["fps"]]

@@ -16,7 +16,7 @@ TREES, DEPTH = 8, 6
 #: The trees are fitted on at most this many rows, those whose ids hash lowest; every row is then indexed.
 SAMPLE = 20_000
 #: A search goes on until its leaves hold this share of the rows, and at least this many of them.
-SHARE, LEAST = 0.6, 4000
+SHARE, LEAST = 0.7, 4000
 #: A leaf of more rows is searched in several parts.
 PART_ROWS = 20_000
 SEED = 11

@@ -40,15 +40,13 @@ def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
     return out
 
 
-def _stems(text: str) -> set[bytes]:
-    """Beginnings of the words with the space before them, and whole words with the spaces around them."""
-    out = set()
-    for w in set(_words(text)):
-        w = w.strip(b".,!?;:")
-        out.update(b" " + w[:n] for n in range(4, min(len(w), STEM_BYTES) + 1))
-        if len(w) >= 3:
-            out.add(b" " + w + b" ")
-    return out
+def _stems(text: str, size: int, known: set[bytes] | None) -> set[bytes]:
+    """Beginnings of size bytes of the words with the space before them, of words whose beginnings of one byte less
+    are known (all if None); for size 0, whole words with the spaces around them."""
+    words = {w.strip(b".,!?;:") for w in set(_words(text))}
+    if not size:
+        return {b" " + w + b" " for w in words if len(w) >= 3 and (known is None or b" " + w[:4] in known)}
+    return {b" " + w[:size] for w in words if len(w) >= size and (known is None or b" " + w[: size - 1] in known)}
 
 
 def _fresh(texts: list[str]) -> list[str]:
@@ -66,13 +64,26 @@ def _fresh(texts: list[str]) -> list[str]:
 def _toxic_stems(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     """Recurring stems of toxic text that ordinary text lacks, the commonest last; of nested ones, the one that
     keeps most of the occurrences."""
-    t, o = Counter(), Counter()
-    for x in toxic:
-        t.update(_stems(x))
-    for x in ordinary:
-        o.update(_stems(x))
     least = max(3, STEM_SHARE * len(toxic))
-    found = {g: n for g, n in t.items() if n >= least and o[g] * STEM_RATIO * len(toxic) <= n * len(ordinary)}
+    t: Counter = Counter()
+
+    def count(size: int, known: set[bytes] | None) -> set[bytes]:
+        seen: Counter = Counter()
+        for x in toxic:
+            seen.update(_stems(x, size, known))
+        often = {g: n for g, n in seen.items() if n >= least}
+        t.update(often)
+        return set(often)
+
+    level = first = count(4, None)
+    for size in range(5, STEM_BYTES + 1):  # only beginnings of stems that are common themselves are counted
+        level = count(size, level)
+    count(0, None)
+    o: Counter = Counter()
+    for x in ordinary:
+        words = {w.strip(b".,!?;:") for w in set(_words(x))}
+        o.update({g for w in words for g in (b" " + w + b" ", *(b" " + w[:n] for n in range(4, min(len(w), STEM_BYTES) + 1) if b" " + w[:4] in first)) if g in t})
+    found = {g: n for g, n in t.items() if o[g] * STEM_RATIO * len(toxic) <= n * len(ordinary)}
     ends = {g for g in found if not any(h != g and h.startswith(g) and n >= 0.8 * found[g] for h, n in found.items())}
     return sorted((g for g in ends if not any(h != g and g.startswith(h) and found[h] > 1.25 * found[g] for h in ends)), key=lambda g: (found[g], g))
 

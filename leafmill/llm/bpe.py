@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.scratch import partitions, shared_dir
+from leafmill.llm.scratch import give_back, partitions, shared_dir
 
 BLOCK_CHARS = 8_000_000
 
@@ -121,6 +121,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     number, block = number + 1, _Block()
         if block.ids:
             yield block.rows(number, parts)
+        del block
+        give_back()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         import tiktoken
@@ -137,6 +139,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     known[w] = np.array(piece(w), kind).tobytes()
             found = [known[w] for w in words]
             out.append((block, int(pdf["part"].iloc[0]), _pack(np.array(list(map(len, found)), "<u4") // kind.itemsize, b"".join(found))))
+        known.clear()
+        give_back()
         return pd.DataFrame(out, columns=["block", "part", "payload"])
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -163,6 +167,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             at = np.repeat(start[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             out.append(flat[at].tobytes())
             begin = end
+        del seq, flat, size, start
+        give_back()
         return pd.DataFrame({"doc_id": pd.Series(list(left["doc_ids"].iloc[0]), dtype="object"), "ids": out})
 
     name = f"bpe_blocks_{uuid.uuid4().hex}"

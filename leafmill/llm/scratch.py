@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -51,3 +52,13 @@ def bucketed(df: DataFrame, name: str, n: int, *keys: str, sort: bool = False) -
 def partitions(spark: SparkSession) -> int:
     """How many partitions a shuffle makes, as the session is configured."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker, which Spark keeps for later tasks, to the system."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.llm.graph import components, local_components
-from leafmill.llm.scratch import Table
+from leafmill.llm.scratch import Table, give_back
 
 RADIUS = 4
 WORDS = 4
@@ -41,7 +41,9 @@ def fingerprint_column(text, words: int = WORDS, seed: int = SEED):
 
     @F.pandas_udf(T.LongType())
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, words, seed) for t in texts], dtype=np.uint64).view(np.int64))
+        prints = np.array([fingerprint(t, words, seed) for t in texts], dtype=np.uint64).view(np.int64)
+        give_back()
+        return pd.Series(prints)
 
     return of(text)
 

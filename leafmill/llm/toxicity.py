@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.llm.scratch import give_back
+
 #: Bounds of the training sample: documents of each class, and bytes of one of them.
 MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 1200, 4000, 32_768
 #: A third of the sample calibrates; the rest trains the dictionaries.
@@ -190,6 +192,8 @@ def score_column(spark, model: Model, text):
 
     @F.pandas_udf(T.DoubleType())
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(texts))
+        scores = pd.Series(shared.value.score(texts))
+        give_back()
+        return scores
 
     return of(text)

@@ -406,6 +406,17 @@ def rule_fence_match(spark, d):
     return refine_ops.match(rules, f).select("post", F.col("fence_index").cast("long").alias("fence_index"), F.col("idx").cast("long").alias("idx"))
 
 
+@_query("rule_fence_match_documents")
+def rule_fence_match_documents(spark, d):
+    """Every document as a fence, eight to a post, and its rule one place off, found again by its whole text through
+    the band join. The relation grows with the table, which that of rule_fence_match, fixed by its SQL, does not."""
+    docs = _table(spark, d, "documents").filter("text IS NOT NULL")
+    f = docs.select(F.expr("doc_id div 8").alias("post"), F.expr("doc_id % 8").cast("int").alias("idx"), F.col("text").alias("content"))
+    f = f.withColumns({"fingerprint": markdown.fingerprint(F.col("content")), "sample": F.col("content")})
+    rules = f.select("post", F.lit("language_tag_missing").alias("check"), (F.col("idx") + 1).alias("fence_index"), "fingerprint", F.col("sample").alias("content_sample"))
+    return refine_ops.match(rules, f).select("post", F.col("fence_index").cast("long").alias("fence_index"), F.col("idx").cast("long").alias("idx"))
+
+
 @_query("refine_replay")
 def refine_replay(spark, d):
     """Suggestions for all fences turned to rules and replayed."""

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|math|object|title|textarea)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|iframe|svg|title|textarea)\b(?!(?<=svg)(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>)(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[/!?a-zA-Z][^>]*+(?:>|\Z)",
     re.S | re.I,

@@ -13,7 +13,6 @@ from leafmill.llm.scratch import Table
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 DAMPING = 0.85
 TOLERANCE = 1e-9
-MAX_STEPS = 100
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINKS = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"
@@ -48,16 +47,18 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> D
 
     Trust is a personalised PageRank: a host passes the damped share of its trust on to the hosts that it links to,
     in equal parts, and seeds keep getting the rest; distrust goes the other way, from a host to those that link to
-    it. What a host without links would pass on is lost. Ends when the ranks move by TOLERANCE in all. Only sums
-    reach the driver; each step's ranks are a table, so lineage stays short.
+    it. What a host without links would pass on is lost. Ends when the ranks move by less than TOLERANCE of the number of
+    seeds in all and no host was reached anew. Only sums reach the driver; each step's ranks are a table, so lineage
+    stays short.
     """
     out_n = edges.groupBy("src").agg(F.count("*").alias("outs")).withColumnRenamed("src", "o")
     in_n = edges.groupBy("dst").agg(F.count("*").alias("ins")).withColumnRenamed("dst", "i")
     links = Table(edges.join(out_n, F.col("src") == F.col("o")).join(in_n, F.col("dst") == F.col("i")).select("src", "dst", "outs", "ins"), "host-links").df
     base = Table(seeds.select("host", F.col("good").cast("double").alias("good"), F.col("bad").cast("double").alias("bad")), "host-seeds").df
     start = [((1 - damping) * F.col(c)).alias(n) for c, n in (("good", "trust"), ("bad", "distrust"))]
-    ranks, moved = base.select("host", *start), None
-    for _ in range(MAX_STEPS):
+    ranks, reached = base.select("host", *start), -1
+    mass = base.agg(F.sum(F.col("good") + F.col("bad"))).first()[0] or 0.0
+    while True:
         given = (
             links.join(ranks.select(F.col("host").alias("src"), "trust"), "src").select(F.col("dst").alias("host"), (damping * F.col("trust") / F.col("outs")).alias("trust"), F.lit(0.0).alias("distrust"))
             .unionByName(links.join(ranks.select(F.col("host").alias("dst"), "distrust"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("trust"), (damping * F.col("distrust") / F.col("ins")).alias("distrust")))
@@ -67,10 +68,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> D
         old = ranks.select(F.col("host").alias("was"), F.col("trust").alias("t"), F.col("distrust").alias("d"))
         delta = F.abs(F.col("trust") - F.coalesce("t", F.lit(0.0))) + F.abs(F.col("distrust") - F.coalesce("d", F.lit(0.0)))
         step = Table(new.join(old, F.col("host") == F.col("was"), "left").select("host", "trust", "distrust", delta.alias("delta")), "host-ranks").df
-        ranks, moved = step.select("host", "trust", "distrust"), step.agg(F.sum("delta")).first()[0]
-        if not moved or moved < TOLERANCE:
-            break
-    return ranks
+        ranks, before = step.select("host", "trust", "distrust"), reached
+        # Shares of a rank reach their hosts over either kind of link; each kind is counted, as one may come later.
+        moved, *sides = step.agg(F.sum("delta"), F.count_if(F.col("trust") > 0), F.count_if(F.col("distrust") > 0)).first()
+        reached = sum(sides)
+        if (moved or 0.0) <= TOLERANCE * mass and reached == before:
+            return ranks
 
 
 def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:

@@ -3,22 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a folder of this process where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names; the warehouse, which executors share too, where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="leafmill-")
-    return _own["dir"]
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 class Table:
@@ -40,13 +32,23 @@ class Table:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bucketed(df: DataFrame, name: str, n: int, *keys: str, sort: bool = False) -> DataFrame:
+class Buckets(Table):
     """A DataFrame written to the shared folder in n buckets by the keys: joins and groups by them need no shuffle."""
-    spark = df.sparkSession
-    name = f"{name}_{uuid.uuid4().hex}"
-    writer = df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").option("path", f"{shared_dir(spark)}/leafmill/{name}")
-    (writer.sortBy(*keys) if sort else writer).saveAsTable(name)
-    return spark.table(name)
+
+    def __init__(self, df: DataFrame, name: str, n: int, *keys: str, shuffle: bool = True, compression: str = "zstd"):
+        self.spark = df.sparkSession
+        self.name = f"{name}_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(self.spark)}/leafmill/{self.name}"
+        dealt = df.repartition(n, *keys) if shuffle else df
+        dealt.write.bucketBy(n, *keys).option("compression", compression).option("path", self.path).saveAsTable(self.name)
+
+    @property
+    def df(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS `{self.name}`")
+        super().drop()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from leafmill.llm.scratch import give_back
 
-#: Bounds of the training sample: documents of each class, and bytes of one of them.
-MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 1200, 4000, 32_768
+#: Bounds of the training sample: documents of each class.
+MAX_TOXIC, MAX_ORDINARY = 1200, 4000
 #: A third of the sample calibrates; the rest trains the dictionaries.
 CALIBRATE = 3
 DICT_BYTES = 32_768
@@ -172,18 +172,28 @@ def fold(id_col):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn from labelled documents outside the held-out fifth, on the driver.
+    """Learn from labelled documents outside the held-out fifth, in one task.
 
-    The sample is of at most MAX_TOXIC and MAX_ORDINARY ids, those that hash lowest, and of them the documents of at
-    most MAX_BYTES bytes. Rows with a null label, id or text don't count; of repeated ids with two labels the toxic one holds.
+    The sample is of at most MAX_TOXIC and MAX_ORDINARY ids, those that hash lowest, with whole texts. Rows with a null
+    label, id or text and empty texts don't count; repeated rows count once, and of repeated ids with two labels the
+    toxic one holds. Without labelled texts the model scores everything 0.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).dropna().filter(fold(F.col("id")) != 0).groupBy("id").agg(F.max("y").alias("y"))
     pick = lambda y, n: marked.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
     chosen = F.broadcast(pick(1, MAX_TOXIC).union(pick(0, MAX_ORDINARY)))  # bounded, so that no text is shuffled
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.octet_length("text").between(1, MAX_BYTES))
-    found = sorted(texts.join(chosen, F.col("doc_id") == F.col("id")).select("y", F.xxhash64("doc_id"), "doc_id", "text").distinct().collect())
-    sample = lambda y: [r["text"] for r in found if r["y"] == y]
-    return fit(sample(1), sample(0))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text != ''")
+    found = texts.join(chosen, F.col("doc_id") == F.col("id")).select(F.lit(0).alias("one"), "y", F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "doc_id", "text"]).drop_duplicates(["doc_id", "text"])
+        model = fit(*(pdf.loc[pdf["y"] == y, "text"].tolist() for y in (1, 0)))
+        give_back()
+        return pd.DataFrame({"ordinary": [model.ordinary], "toxic": [model.toxic], "weights": [None if model.weights is None else model.weights.tolist()]})
+
+    row = found.groupBy("one").applyInPandas(learn, "ordinary binary, toxic binary, weights array<double>").first()
+    if row is None or row["weights"] is None:
+        return Model(b"", b"", None)
+    return Model(bytes(row["ordinary"]), bytes(row["toxic"]), np.array(row["weights"]))
 
 
 def score_column(spark, model: Model, text):

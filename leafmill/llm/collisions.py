@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.graph import components, local_components
 from leafmill.llm.scratch import Table
-from leafmill.llm.vectors import matrix, usable, usual_size
+from leafmill.llm.vectors import matrix, sizes, unit, usable
 
 COSINE = 0.9
 PROJECTIONS = 48
@@ -21,7 +21,7 @@ WIDTH = 1.5
 MISS = 1e-7
 SEED = 7
 TILE = 1024
-BLOCK_ROWS, MIN_BLOCKS, MAX_BLOCKS = 16384, 16, 1024
+BLOCK_ROWS, MIN_BLOCKS = 16384, 16
 
 
 def calibrated(cosine: float, projections: int, width: float, miss: float) -> tuple[float, int]:
@@ -42,8 +42,9 @@ def _near_pairs(a: np.ndarray, b: np.ndarray, same: bool, cosine: float):
     half, least = calibrated(cosine, PROJECTIONS, WIDTH, MISS)
     rng = np.random.default_rng(SEED)
     lines = rng.normal(size=(a.shape[1], PROJECTIONS))
-    na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-    pa, pb = (a / na[:, None]) @ lines, (b / nb[:, None]) @ lines
+    ua = unit(a)
+    ub = ua if a is b else unit(b)
+    pa, pb = ua @ lines, ub @ lines
     step = 32.0  # a window's ends are moved outwards by what rounding may take
     width = np.uint8(min(127, math.ceil(half * step) + 1))
     qa, qb = (np.ascontiguousarray(np.clip(np.rint(p * step), -127, 127).astype(np.int8).view(np.uint8).T) for p in (pa, pb))
@@ -54,16 +55,13 @@ def _near_pairs(a: np.ndarray, b: np.ndarray, same: bool, cosine: float):
             if (same and tj < ti) or np.sum((low - high2 <= half) & (low2 - high <= half)) < least:
                 continue
             t = slice(tj * TILE, (tj + 1) * TILE)
-            count = np.zeros((len(na[s]), len(nb[t])), np.uint8)
+            count = np.zeros((len(ua[s]), len(ub[t])), np.uint8)
             for x, y in zip(qa[:, s], qb[:, t]):
                 count += (x[:, None] - y[None] + width) <= 2 * width
-            passed = count >= least
-            if passed.sum() > passed.size // 20:
-                i, j = np.nonzero(passed & ((a[s] @ b[t].T) / (na[s, None] * nb[None, t]) >= cosine))
-            else:
-                i, j = np.nonzero(passed)
-                near = np.einsum("ij,ij->i", a[s][i], b[t][j]) / (na[s][i] * nb[t][j]) >= cosine
-                i, j = i[near], j[near]
+            i, j = np.nonzero(count >= least)
+            parts = [np.einsum("ij,ij->i", ua[s][i[k : k + TILE]], ub[t][j[k : k + TILE]]) for k in range(0, len(i), TILE)]
+            near = np.concatenate([np.empty(0), *parts]) >= cosine
+            i, j = i[near], j[near]
             i, j = i + s.start, j + t.start
             if same:
                 i, j = i[i < j], j[i < j]
@@ -91,21 +89,9 @@ def pair_links(a: np.ndarray, b: np.ndarray | None, cosine: float = COSINE) -> t
     return links, label
 
 
-def near_dups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row.
-
-    Unit vectors are projected on random lines; a pair is verified by its exact cosine in doubles if it shares as
-    many windows, each centred on one of the two, as a pair at the threshold misses with a chance of MISS only.
-    Rows are dealt at random to blocks; a task takes a pair of blocks and returns, for each row with links there,
-    their number and one row that it is connected to. Null, zero and non-finite vectors and those of another size
-    than the usual one link with nothing. Rows with one id, or with null ids, stay rows of their own; a component of
-    null ids only has a null id and is kept.
-    """
-    rows = Table(vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v")).withColumn("row", F.monotonically_increasing_id()), "vectors").df
-    size = usual_size(rows, "v")
-    good = rows.filter(usable(F.col("v")) & (F.size("v") == size)).select("row", F.col("v").cast("array<double>").alias("v"))
-    total = good.count()
-    n_blocks = min(MAX_BLOCKS, max(min(MIN_BLOCKS, -(-total // 256)), -(-total // BLOCK_ROWS), 1))
+def _links(good: DataFrame, size: int, total: int, cosine: float) -> DataFrame:
+    """(row, links, root) for each pair of blocks of vectors (row, v) of one size, for each row with links there."""
+    n_blocks = max(min(MIN_BLOCKS, -(-total // 256)), -(-total // BLOCK_ROWS), 1)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "ids": [pdf["row"].to_numpy(np.int64).tobytes()], "data": [matrix(pdf["v"]).tobytes()]})
@@ -120,8 +106,27 @@ def near_dups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
     packed = good.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int")).groupBy("block").applyInPandas(pack, "block int, ids binary, data binary")
     other = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    paired = other.select((F.least("block", "other") * n_blocks + F.greatest("block", "other")).alias("pair"), (F.col("block") > F.col("other")).cast("int").alias("side"), "ids", "data")
-    found = Table(paired.groupBy("pair").applyInPandas(compare, "row long, links long, root long"), "vector-links").df
+    paired = other.select((F.least("block", "other").cast("long") * n_blocks + F.greatest("block", "other")).alias("pair"), (F.col("block") > F.col("other")).cast("int").alias("side"), "ids", "data")
+    return paired.groupBy("pair").applyInPandas(compare, "row long, links long, root long")
+
+
+def near_dups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row.
+
+    Unit vectors are projected on random lines; a pair is verified by its exact cosine in doubles if it shares as
+    many windows, each centred on one of the two, as a pair at the threshold misses with a chance of MISS only.
+    Rows are dealt at random to blocks; a task takes a pair of blocks and returns, for each row with links there,
+    their number and one row that it is connected to. Null, zero and non-finite vectors link with nothing, others
+    with those of their size. Rows with one id, or with null ids, stay rows of their own; a component of
+    null ids only has a null id and is kept.
+    """
+    rows = Table(vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v")).withColumn("row", F.monotonically_increasing_id()), "vectors").df
+    found = None
+    for size, total in sizes(rows, "v").items():
+        good = rows.filter(usable(F.col("v")) & (F.size("v") == size)).select("row", F.col("v").cast("array<double>").alias("v"))
+        linked = _links(good, size, total, cosine)
+        found = linked if found is None else found.union(linked)
+    found = Table(found if found is not None else rows.sparkSession.createDataFrame([], "row long, links long, root long"), "vector-links").df
     links = found.groupBy("row").agg(F.sum("links").alias("n_links")).withColumnRenamed("row", "linked")
     parts = components(found, "row", "root")
     table = (
@@ -138,9 +143,8 @@ WITH RECURSIVE rows AS (
 ), good AS (
   SELECT row, v, sqrt(list_dot_product(v, v)) AS size FROM rows
   WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
-    AND len(v) = (SELECT mode(len(v)) FROM rows WHERE v IS NOT NULL)
 ), links AS (
-  SELECT a.row AS a, b.row AS b FROM good a JOIN good b ON a.row <> b.row AND list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.9
+  SELECT a.row AS a, b.row AS b FROM good a JOIN good b ON a.row <> b.row AND len(a.v) = len(b.v) AND CASE WHEN len(a.v) = len(b.v) THEN list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.9 ELSE false END
 ), reach(a, b) AS (
   SELECT row, row FROM rows UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
 ), least AS (

@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.vectors import matrix, usable, usual_size
+from leafmill.llm.vectors import matrix, sizes, usable
 
 TREES, DEPTH = 8, 6
+INNER = 2**DEPTH
 #: The trees are fitted on at most this many rows, those whose ids hash lowest; every row is then indexed.
 SAMPLE = 20_000
-#: A search goes on until its leaves hold this share of the rows, and at least this many of them.
-SHARE, LEAST = 0.7, 4000
+#: A search goes on until its leaves hold this share of the rows, and this many for each neighbour asked for.
+SHARE, FLOOR = 0.7, 10
 #: A leaf of more rows is searched in several parts.
 PART_ROWS = 20_000
 SEED = 11
@@ -30,7 +31,7 @@ class Forest:
 
     def __init__(self, sample: np.ndarray):
         rng = np.random.default_rng(SEED)
-        inner = 2**DEPTH
+        inner = INNER
         self.planes = rng.normal(size=(TREES, inner, sample.shape[1]))
         self.planes /= np.linalg.norm(self.planes, axis=2, keepdims=True)
         self.cuts = np.zeros((TREES, inner))
@@ -51,7 +52,7 @@ class Forest:
             node = np.ones(len(x), np.int64)
             for _ in range(DEPTH):
                 node = 2 * node + right[np.arange(len(x)), node]
-            out[:, t] = node - 2**DEPTH
+            out[:, t] = node - INNER
         return out
 
     def search(self, x: np.ndarray, share: float) -> list[tuple[int, int]]:
@@ -62,52 +63,66 @@ class Forest:
         seen, found = np.zeros(len(self.sample_leaves), bool), []
         while queue and (share >= 1 or seen.sum() < share * len(seen)):
             far, t, k = heapq.heappop(queue)
-            while k < 2**DEPTH:
+            while k < INNER:
                 right = side[t, k] > 0
                 heapq.heappush(queue, (max(far, abs(side[t, k])), t, 2 * k + (not right)))
                 k = 2 * k + int(right)
-            found.append((t, k - 2**DEPTH))
-            seen |= self.sample_leaves[:, t] == k - 2**DEPTH
+            found.append((t, k - INNER))
+            seen |= self.sample_leaves[:, t] == k - INNER
         return found
 
 
 def _nearest(x: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and distances of the k rows nearest to the query, without rows of its own id; ties to the smaller id."""
-    rough = np.einsum("ij,ij->i", x, x) - 2 * (x @ query)
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = np.einsum("ij,ij->i", x, x) - 2 * (x @ query)
+    whole = bool(np.isfinite(rough).all())  # squares of huge components overflow; then all rows are measured exactly
     rough[ids == own] = np.inf
-    if len(rough) > k:
+    if len(rough) > k and whole:
         slack = 1e-9 * (1 + query @ query + np.abs(rough[np.isfinite(rough)]).max(initial=0))
         at = np.nonzero(rough <= np.partition(rough, k - 1)[k - 1] + slack)[0]
     else:
         at = np.arange(len(rough))
     at = at[ids[at] != own]
-    exact = np.sqrt(((x[at] - query) ** 2).sum(1))
+    apart = x[at] - query
+    most = np.abs(apart).max(axis=1, initial=0)
+    scale = np.where((most > 1e150) & np.isfinite(most), most, 1.0)
+    exact = scale * np.sqrt(((apart / scale[:, None]) ** 2).sum(1))
     order = np.lexsort((ids[at], exact))[:k]
     return ids[at][order], exact[order]
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", share: float = SHARE, least: int = LEAST) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found of each query row, by Euclidean distance in doubles.
 
-    Every usable row is indexed: each tree sends it to a leaf. A query goes to the leaves that its search meets;
-    each leaf returns its k nearest by exact distance, and the k nearest of all leaves are the result. Rows with
-    null ids or vectors, zero or non-finite vectors and those of another size than the usual one take no part; rows
-    with the query's own id are never found, and rows of one other id count once, by the nearest. Without rows or
-    queries there is no result.
+    Every usable row is indexed: each tree sends it to a leaf. A query goes to the leaves that its search meets; a row
+    is compared in the first tree that brings the two together only. Each leaf returns its k nearest by exact
+    distance, and the k nearest of all leaves are the result, ties to the smaller id. Rows with null ids or vectors,
+    zero and non-finite vectors take no part, others are candidates for queries of their size; rows with the query's
+    own id are never found, and rows of one other id count once, by the nearest. Without rows or queries there is no
+    result.
     """
-    spark = vectors.sparkSession
     named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter("vec_id IS NOT NULL")
-    size = usual_size(named, "v")
-    schema = "query_id long, vec_id long, score double"
-    good = named.filter(usable(F.col("v")) & (F.size("v") == size)).select("vec_id", F.col("v").cast("array<double>").alias("v"), "asks")
-    total = good.count() if size else 0
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = None
+    for size, total in sizes(named, "v").items():
+        good = named.filter(usable(F.col("v")) & (F.size("v") == size)).select("vec_id", F.col("v").cast("array<double>").alias("v"), "asks")
+        some = _search(good, total, k, share)
+        found = some if found is None else found.union(some)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(good: DataFrame, total: int, k: int, share: float) -> DataFrame:
+    """(query_id, vec_id, score) of the k nearest in each leaf that a query visits, of vectors of one size."""
+    spark = good.sparkSession
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
     forest = Forest(matrix(sample))
     shared = spark.sparkContext.broadcast(forest)
-    wanted = max(share, least / total)
-    counts = np.stack([np.bincount(forest.sample_leaves[:, t], minlength=2**DEPTH) for t in range(TREES)])
+    wanted = max(share, FLOOR * k / total)
+    counts = np.stack([np.bincount(forest.sample_leaves[:, t], minlength=INNER) for t in range(TREES)])
     parts = np.maximum(1, np.ceil(counts * (total / len(sample)) / PART_ROWS)).astype(np.int64)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,34 +130,43 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
             if len(pdf):
                 x, ids = matrix(pdf["v"]), pdf["vec_id"].to_numpy(np.int64)
                 leaves, data = shared.value.leaves(x), [r.tobytes() for r in x]
+                marks = [r.tobytes() for r in leaves]
                 for t in range(TREES):
                     leaf = leaves[:, t].astype(np.int64)
-                    yield pd.DataFrame({"tree": t, "leaf": leaf, "part": ids % parts[t, leaf], "vec_id": ids, "data": data})
+                    yield pd.DataFrame({"tree": t, "leaf": leaf, "part": _mixed(ids) % parts[t, leaf], "vec_id": ids, "data": data, "leaves": marks})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for query, v in zip(pdf["vec_id"], pdf["v"]):
                 x = np.array(v, dtype=np.float64)
-                data = x.tobytes()
-                out += [(t, leaf, p, query, data) for t, leaf in shared.value.search(x, wanted) for p in range(parts[t, leaf])]
-            yield pd.DataFrame(out, columns=["tree", "leaf", "part", "vec_id", "data"])
+                visits, data = shared.value.search(x, wanted), x.tobytes()
+                met = np.zeros((TREES, INNER), bool)
+                met[tuple(np.array(visits).T)] = True
+                out += [(t, leaf, p, query, data, np.packbits(met).tobytes()) for t, leaf in visits for p in range(parts[t, leaf])]
+            yield pd.DataFrame(out, columns=["tree", "leaf", "part", "vec_id", "data", "leaves"])
 
     def search(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(queries):
             x = np.frombuffer(b"".join(rows["data"]), np.float64).reshape(len(rows), -1)
-            ids = rows["vec_id"].to_numpy(np.int64)
-            for query, data in zip(queries["vec_id"], queries["data"]):
-                found, score = _nearest(x, ids, np.frombuffer(data, np.float64), query, k)
+            ids, tree = rows["vec_id"].to_numpy(np.int64), int(rows["tree"].iloc[0])
+            leaves = np.frombuffer(b"".join(rows["leaves"]), np.int16).reshape(len(rows), TREES)
+            for query, data, met in zip(queries["vec_id"], queries["data"], queries["leaves"]):
+                met = np.unpackbits(np.frombuffer(met, np.uint8)).reshape(TREES, INNER).astype(bool)
+                fresh = np.nonzero(~np.logical_or.reduce([met[t, leaves[:, t]] for t in range(tree)], initial=False) if tree else np.ones(len(ids), bool))[0]
+                found, score = _nearest(x[fresh], ids[fresh], np.frombuffer(data, np.float64), query, k)
                 out.append(pd.DataFrame({"query_id": query, "vec_id": found, "score": score}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    place = "tree int, leaf int, part int, vec_id long, data binary"
+    place = "tree int, leaf int, part int, vec_id long, data binary, leaves binary"
     keys = ["tree", "leaf", "part"]
     rows = good.mapInPandas(index, place)
     queries = good.filter("asks").mapInPandas(ask, place)
-    found = rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(search, schema)
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
+
+
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    """Ids as evenly spread numbers from 0."""
+    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)

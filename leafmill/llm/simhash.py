@@ -17,7 +17,7 @@ SEED = 42
 QUARTERS = 4
 TILE = 1024
 BLOCK_ROWS = 131072
-MIN_BLOCKS, MAX_BLOCKS = 16, 1024
+MIN_BLOCKS = 16
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -120,7 +120,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     total = int(counts["n"].sum())
     if total < 2:
         return spark.createDataFrame([], "src long, dst long")
-    n_blocks = min(MAX_BLOCKS, max(min(MIN_BLOCKS, -(-total // 256)), -(-total // BLOCK_ROWS)))
+    n_blocks = max(min(MIN_BLOCKS, -(-total // 256)), -(-total // BLOCK_ROWS))
     rows = -(-total // n_blocks)
     before = counts["n"].cumsum() - counts["n"]
     cells = counts["cell"].to_numpy()

@@ -13,12 +13,18 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def usual_size(vectors: DataFrame, column: str) -> int:
-    """The commonest number of components of the usable vectors (of equals the smallest), 0 without any."""
-    row = vectors.filter(usable(F.col(column))).groupBy(F.size(column).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
-    return row["n"] if row else 0
+def sizes(vectors: DataFrame, column: str) -> dict[int, int]:
+    """How many usable vectors there are of each number of components; vectors are held against those of their size."""
+    rows = vectors.filter(usable(F.col(column))).groupBy(F.size(column).alias("n")).agg(F.count("*").alias("rows")).collect()
+    return {r["n"]: r["rows"] for r in sorted(rows)}
 
 
 def matrix(series) -> np.ndarray:
     """A column of usable vectors of one size as rows of doubles."""
     return np.array(series.tolist(), dtype=np.float64).reshape(len(series), -1)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, scaled by their largest components first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)

@@ -213,5 +213,9 @@ def main_text_column(html):
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
-    """pages with a column of main texts, which replaces one of that name. Each row gives one row."""
+    """pages with a column of main texts, which replaces one of that name.
+
+    Each row gives one row, repeated rows too; null and empty pages have empty texts, an empty table gives none. Of equal
+    cuts the one with the least content counts.
+    """
     return pages.withColumn(out_col, main_text_column(F.col(html_col)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -20,6 +21,9 @@ BLOCKS = frozenset(
     "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split()
 )
 RAW = frozenset(["script", "style"])
+#: Elements nested deeper become siblings, as in browsers, which allow some more; the tree's walks recurse once or a few times a level.
+MAX_DEPTH = 200
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 12 * MAX_DEPTH))
 SPACE = re.compile(r"\s+")
 _BYLINE = re.compile(r"\s*by\s+[A-Z]", re.I)
 
@@ -167,7 +171,7 @@ class _Builder(HTMLParser):
         for k, v in attrs:
             first.setdefault(k, v or "")
         node = self.open[-1].add(Node(tag, first))
-        if tag not in VOID:
+        if tag not in VOID and len(self.open) <= MAX_DEPTH:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -201,14 +205,33 @@ def article_root(root: Node) -> Node | None:
     return root.first("article") or root.first("body") or (root if root.elements() else None)
 
 
-def selector(node: Node) -> str:
+def places(order: list[Node]) -> dict[int, tuple[int, Node | None, int, int]]:
+    """For each element below those in order: its place, the next element, its place among those of its tag, and
+    their number."""
+    at: dict[int, tuple[int, Node | None, int, int]] = {}
+    for up in order:
+        after, left = None, {}
+        for pos in range(len(up.kids) - 1, -1, -1):
+            kid = up.kids[pos]
+            if isinstance(kid, Node):
+                left[kid.tag] = left.get(kid.tag, 0) + 1
+                at[id(kid)] = (pos, after, left[kid.tag], 0)
+                after = kid
+        for kid in up.elements():
+            pos, follows, back, _ = at[id(kid)]
+            at[id(kid)] = (pos, follows, left[kid.tag] - back + 1, left[kid.tag])
+    return at
+
+
+def selector(node: Node, at: dict[int, tuple] | None = None) -> str:
     """#id, else up to six steps of tags with their place among siblings of the tag, down from the article."""
     if node.attrs.get("id"):
         return f"#{node.attrs['id']}"
+    at = places(list(node.above())) if at is None else at
     steps: list[str] = []
-    while len(steps) < 6 and node.up is not None and node.tag not in ("html", "body", "article", "#root"):
-        alike = [k for k in node.up.elements() if k.tag == node.tag]
-        steps.append(node.tag if len(alike) == 1 else f"{node.tag}:nth-of-type({next(i for i, k in enumerate(alike) if k is node) + 1})")
+    while len(steps) < 6 and id(node) in at and node.tag not in ("html", "body", "article", "#root"):
+        _, _, nth, alike = at[id(node)]
+        steps.append(node.tag if alike == 1 else f"{node.tag}:nth-of-type({nth})")
         node = node.up
     return " > ".join(reversed(steps)) or node.tag
 
@@ -239,30 +262,41 @@ def rows(markup: str | None) -> Iterator[tuple]:
 
     inside counts the elements below by tag; after is the text that follows the element directly; in_byline tells
     elements that are, or are in, a short p, div or span that begins as a byline. A page without an article or body
-    has one row, of number -1.
+    has one row, of number -1; a page that can't be taken apart has one of number -2 with the reason as its text.
     """
+    try:
+        found = list(_rows(markup))
+    except Exception as wrong:  # one page must not stop the others
+        found = [(-2, -1, 0, 0, "#error", {}, [], [], {}, f"{type(wrong).__name__}: {wrong}", "", "", None, None, None, None, False, None, False, None)]
+    yield from found
+
+
+def _rows(markup: str | None) -> Iterator[tuple]:
     root = article_root(parse(markup))
     if root is None:
         yield (-1, -1, 0, 0, "#none", {}, [], [], {}, "", "", "", None, None, None, None, False, None, False, None)
         return
-    number: dict[int, int] = {}
+    order = [root, *root.walk()]
+    number = {id(node): k for k, node in enumerate(order)}
+    inside: list[dict[str, int]] = [{} for _ in order]
+    for k in range(len(order) - 1, 0, -1):  # from the leaves up, so that each element is counted once a level
+        up = inside[number[id(order[k].up)]]
+        up[order[k].tag] = up.get(order[k].tag, 0) + 1
+        for tag, n in inside[k].items():
+            up[tag] = up.get(tag, 0) + n
+    at = places(order)
     bylines: set[int] = set()
-    for node in [root, *root.walk()]:
-        if id(node.up) in bylines or (node.tag in ("p", "div", "span") and node is not root and _BYLINE.match(node.whole()[:400]) and len(" ".join(node.whole().split())) < 200):
+    for k, node in enumerate(order):
+        if id(node.up) in bylines or (node.tag in ("p", "div", "span") and k and _BYLINE.match(node.whole()[:400]) and len(" ".join(node.whole().split())) < 200):
             bylines.add(id(node))
-        number[id(node)] = len(number)
-        inside: dict[str, int] = {}
-        for n in node.walk():
-            inside[n.tag] = inside.get(n.tag, 0) + 1
         above = [a.tag for a in node.above() if id(a) in number]
         nxt, pos, after = None, 0, None
-        if node is not root:
-            pos = node.place()
-            nxt = node.next_element()
+        if k:
+            pos, nxt, _, _ = at[id(node)]
             follow = node.up.kids[pos + 1] if pos + 1 < len(node.up.kids) else None
             after = str(follow) if isinstance(follow, Text) and not follow.comment else None
         yield (
-            number[id(node)], number.get(id(node.up), -1), pos, len(above), node.tag, dict(node.attrs), node.classes, above, inside, node.text(), node.own(), node.whole(),
+            k, number.get(id(node.up), -1), pos, len(above), node.tag, dict(node.attrs), node.classes, above, inside[k], node.text(), node.own(), node.whole(),
             node.outer() if node.tag in ("noscript", "pre", "code", "script") else None, after, nxt.tag if nxt else None, nxt.classes if nxt else None,
-            bool(nxt and (nxt.tag == "img" or nxt.first("img"))), selector(node), id(node) in bylines, numbered_code(node) if node.tag == "table" else None,
+            bool(nxt and (nxt.tag == "img" or nxt.first("img"))), selector(node, at), id(node) in bylines, numbered_code(node) if node.tag == "table" else None,
         )

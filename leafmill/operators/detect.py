@@ -26,6 +26,7 @@ IMAGE_SIGNALS = (
 # Texts that look like code; one strong or two weak ones suffice.
 STRONG_CODE = (r'(?i)\brule[\s ]*"', r"(?m)^\s*when\s*$", r"(?m)^\s*then\s*$", r"\bpublic\s+(class|static\s+void|interface)\b", r"\bimport\s+[\w.]+;", r"<\?xml\b", r"<[a-zA-Z][a-zA-Z0-9:._-]*\b[^>]+/>")
 WEAK_CODE = (r"(?m)^\s*end\s*$", r"\bnew\s+\w+\s*\(", r"<[a-zA-Z][a-zA-Z0-9]*\b[^>]*/?>", r"(?m)[;{}]\s*$")
+# An escaped tag in code, and signs of code that lost its line ends.
 ENCODED_TAG = r"(?i)&lt;(?:\?xml|table|div|p|span|ul|ol|li|section|article|h[1-6]|tr|td|th)\b"
 LOST_LINES = r"[;{}]|when\s+\w|\bthen\b|\bend\b"
 
@@ -171,11 +172,16 @@ def no_article() -> list[Rule]:
     return [Rule((F.col("node_id") == -1) | ((F.col("node_id") == 0) & (F.size("inside") == 0) & (F.col("own_text") == "")), "ERROR", F.lit("Page has no article or body, or an empty one"))]
 
 
+def parse_error() -> list[Rule]:
+    """Pages that can't be taken apart."""
+    return [Rule(F.col("node_id") == -2, "ERROR", F.concat(F.lit("Page can't be parsed: "), _cut(F.col("text"), 100)))]
+
+
 DETECTORS: dict[str, Callable[[], list[Rule]]] = {
     f.__name__: f
     for f in (
         data_placeholder, noscript_remnant, external_image, tracking_pixel, empty_embed, unreplaced_gist, wordpress_chrome, missing_image_signal, md_notation_in_text,
-        suspicious_code_content, imgur_image, linenumber_table_code, potential_code_block, code_no_newlines, no_article,
+        suspicious_code_content, imgur_image, linenumber_table_code, potential_code_block, code_no_newlines, no_article, parse_error,
     )
 }
 
@@ -193,6 +199,12 @@ def scan(nodes: DataFrame, names=tuple(DETECTORS)) -> DataFrame:
     return nodes.filter(~F.col("in_byline")).select(key, "node_id", "selector", F.inline(found)).select(key, "node_id", "type", "level", "detail", "selector")
 
 
+def scan_all(nodes: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """All issues of pages: of single elements, of a page's spacers together, and of images that files (path) lacks."""
+    found = scan(nodes).unionByName(layout_spacers(nodes))
+    return found if files is None else found.unionByName(missing_local_image(nodes, files))
+
+
 def layout_spacers(nodes: DataFrame) -> DataFrame:
     """Images without content that hold space: one issue a page with their number, at the first one."""
     key = nodes.columns[0]

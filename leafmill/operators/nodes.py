@@ -16,9 +16,16 @@ BATCH_ROWS = 5000
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt to all cores if it comes in fewer partitions, as one small file does; large inputs stay as they are."""
+    """df dealt to all cores where its files are too few for them; large inputs and results of shuffles stay as they are."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    files = df.inputFiles()
+    return df.repartition(n) if 0 < len(files) < n and df.sparkSession.sparkContext.defaultParallelism > 1 and _small(df) else df
+
+
+def _small(df: DataFrame) -> bool:
+    """Whether the optimiser's size of the plan would fill fewer partitions than there are cores."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size < df.sparkSession.sparkContext.defaultParallelism * int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
 
 
 def dom_nodes(pages: DataFrame, key: str = "slug", html: str = "html") -> DataFrame:

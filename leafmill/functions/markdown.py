@@ -74,16 +74,27 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(m == 0, F.lit(1.0)).otherwise(F.when(n == 0, 0).otherwise(same) / m)
 
 
+_FENCED = r"(?ms)^(`{3,})[^`\n]*\n(?:.*?\n)?\1`*[ \t]*$"
+
+
 def clean(md: Column) -> Column:
-    """Converted Markdown without junk lines and empty links, with # headings, rules and at most one blank line."""
-    plain = F.regexp_replace(md, r"\[\]\(<?https?://[^)]*\)", "")
-    lines = F.filter(F.split(plain, "\n"), lambda line: ~_any(line, JUNK_LINES))
-    text = F.array_join(lines, "\n")
-    text = F.regexp_replace(text, r"(?m)^(\S[^\n]*)\n=+$", "# $1")
-    text = F.regexp_replace(text, r"(?m)^([^-\n][^\n]*)\n-+$", "## $1")
-    text = F.regexp_replace(text, r"(?m)^={4,}\s*$", "\n---")
-    text = F.regexp_replace(text, r"(?m)^(\|.*)\n(?:[ \t]*\n)+(?=\|)", "$1\n")  # no blank lines inside tables
-    return F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), r"\A\s+|\s+\z", "")
+    """Converted Markdown without junk lines and empty links, with # headings, rules and at most one blank line; code in
+    fences stays as it is."""
+    prose, code = F.split(md, _FENCED, -1), F.regexp_extract_all(md, F.lit(_FENCED), 0)
+    parts = F.zip_with(F.transform(prose, _clean_prose), code, lambda text, block: F.concat(text, F.coalesce(block, F.lit(""))))
+    return F.regexp_replace(F.array_join(parts, ""), r"\A\s+|\s+\z", "")
+
+
+# Headings underlined with = and -, rules of =, and blank lines inside tables, with what replaces them.
+PROSE_PATTERNS = ((r"(?m)^(\S[^\n]*)\n=+$", "# $1"), (r"(?m)^([^-\n][^\n]*)\n-+$", "## $1"), (r"(?m)^={4,}\s*$", "\n---"), (r"(?m)^(\|.*)\n(?:[ \t]*\n)+(?=\|)", "$1\n"), ("\n{3,}", "\n\n"))
+
+
+def _clean_prose(text: Column) -> Column:
+    plain = F.regexp_replace(text, r"\[\]\(<?https?://[^)]*\)", "")
+    text = F.array_join(F.filter(F.split(plain, "\n"), lambda line: ~_any(line, JUNK_LINES)), "\n")
+    for pattern, new in PROSE_PATTERNS:
+        text = F.regexp_replace(text, pattern, new)
+    return text
 
 
 def _any(text: Column, patterns) -> Column:

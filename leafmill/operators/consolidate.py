@@ -17,18 +17,23 @@ def groups(files: DataFrame) -> DataFrame:
 def plan(files: DataFrame, kept: DataFrame | None = None, root: str = "assets/global") -> DataFrame:
     """(path, new_path, action): the primary copy of each group moves to the root, its copies are deleted.
 
-    A name that several groups have, or that the root has already (kept: path), gets -2, -3 and so on before its
-    extension, by the path of the primary copy.
+    The first group of a name keeps it, by the path of its primary copy, unless the root has it already (kept: path);
+    the others get the smallest numbers from 2 on before the extension that no file of the root or other group has.
+    So all targets are distinct.
     """
     found = groups(files).withColumn("name", urls.filename(F.col("primary")))
-    taken = (kept.select(urls.filename(F.col("path")).alias("name")).groupBy("name").agg(F.count("*").alias("taken"))) if kept is not None else None
-    place = F.row_number().over(Window.partitionBy("name").orderBy("primary"))
-    found = found.withColumn("place", place)
-    found = found.join(taken, "name", "left").withColumn("place", F.col("place") + F.coalesce("taken", F.lit(0))) if taken is not None else found
-    end = urls.suffix(F.col("name"))
-    base = F.substring("name", F.lit(1), F.char_length("name") - F.char_length(end))
-    target = F.concat(F.lit(f"{root}/"), F.when(F.col("place") == 1, F.col("name")).otherwise(F.concat(base, F.lit("-"), F.col("place").cast("string"), end)))
-    named = found.select("sha256", "primary", target.alias("new_path"))
+    found = found.withColumns({"end": urls.suffix(F.col("name")), "place": F.row_number().over(Window.partitionBy("name").orderBy("primary"))})
+    found = found.withColumn("base", F.substring("name", F.lit(1), F.char_length("name") - F.char_length("end")))
+    there = (kept.select(urls.filename(F.col("path")).alias("name")) if kept is not None else found.select("name").limit(0)).distinct()
+    names = found.select("name").union(there).distinct()
+    numbered = names.select(F.regexp_extract("name", r"^(.*)-\d{1,9}(\.[^./]+)?$", 1).alias("base"), urls.suffix(F.col("name")).alias("end"), F.regexp_extract("name", r"-(\d{1,9})(?:\.[^./]+)?$", 1).try_cast("long").alias("k")).filter("k IS NOT NULL")
+    used = numbered.groupBy("base", "end").agg(F.collect_set("k").alias("used"))
+    found = found.join(there.withColumn("held", F.lit(1)), "name", "left").join(used, ["base", "end"], "left")
+    nth = F.col("place") - F.when(F.col("held").isNull(), 1).otherwise(0)  # of those that need a number
+    used = F.coalesce("used", F.array().cast("array<bigint>"))
+    free = F.array_except(F.sequence(F.lit(2).cast("long"), nth + F.size(used) + 1), used)
+    target = F.when(nth == 0, F.col("name")).otherwise(F.concat("base", F.lit("-"), F.get(free, (nth - 1).cast("int")).cast("string"), "end"))
+    named = found.select("sha256", "primary", F.concat(F.lit(f"{root}/"), target).alias("new_path"))
     return files.join(named, "sha256").select("path", "new_path", F.when(F.col("path") == F.col("primary"), "move").otherwise("delete").alias("action"))
 
 
@@ -79,3 +84,28 @@ def rewrite_css(sheets: DataFrame, assets: DataFrame) -> DataFrame:
     known = refs.join(assets, "src").groupBy("url").agg(F.collect_list(F.struct("src", "path")).alias("known"))
     swapped = F.aggregate(F.coalesce("known", F.array().cast("array<struct<src:string,path:string>>")), F.col("css"), lambda css, k: F.replace(css, k["src"], k["path"]))
     return sheets.join(known, "url", "left").select("url", swapped.alias("css"))
+
+
+def archive_pages(pages: DataFrame, moved: DataFrame, key: str = "slug", html: str = "html") -> DataFrame:
+    """(key, html) of pages whose src and href addresses that moved names (key, src, path) are replaced by local paths;
+    a page travels with its own few addresses in one row."""
+    own = moved.filter("path IS NOT NULL").groupBy(key).agg(F.collect_list(F.struct(F.length("src").alias("n"), "src", "path")).alias("known"))
+    known = F.coalesce("known", F.array().cast("array<struct<n:int,src:string,path:string>>"))
+    swapped = F.aggregate(known, F.col(html), lambda page, k: F.replace(F.replace(page, F.concat(F.lit('="'), k["src"], F.lit('"')), F.concat(F.lit('="'), k["path"], F.lit('"'))), F.concat(F.lit("='"), k["src"], F.lit("'")), F.concat(F.lit("='"), k["path"], F.lit("'"))))
+    return pages.join(own, key, "left").select(key, swapped.alias(html))
+
+
+def promote(index: DataFrame, moves: DataFrame) -> DataFrame:
+    """The index of addresses (url, path) after a consolidation plan: paths that moved or whose copies went."""
+    return move_index(index, moves)
+
+
+def resolve(wanted: DataFrame, index: DataFrame, root: str = "/") -> DataFrame:
+    """(url, path, web_path) of addresses (url): where the index keeps them, null where it doesn't."""
+    return wanted.select("url").join(index, "url", "left").select("url", "path", F.concat(F.lit(root), "path").alias("web_path"))
+
+
+def record(index: DataFrame, stored: DataFrame) -> DataFrame:
+    """The index with newly stored assets (url, path); an address that it has already keeps its path."""
+    new = stored.select("url", "path").dropDuplicates(["url"]).join(index.select("url"), "url", "left_anti")
+    return index.select("url", "path").unionByName(new)

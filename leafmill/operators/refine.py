@@ -30,14 +30,26 @@ def fence_index(detail: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(detail, r"fence\s+(\d+)", 1), F.lit("")).try_cast("int"), F.lit(-1))
 
 
+# Texts by which a block's language is told, the first language that has one; drl needs all three of its own.
+LANGUAGE_TEXTS = {
+    "java": ("system.out", "public class", "import java"),
+    "xml": ("<?xml", "<beans", "xmlns"),
+    "sql": ("select ", "insert into", "create table"),
+    "python": ("def ", "print("),
+    "javascript": ("function ", "const ", "var ", "=>"),
+    "bash": ("#!/bin/bash", "echo ", "export "),
+}
+DRL_TEXTS = ("rule ", "when", "then")
+
+
 def infer_language(content: Column) -> Column:
     """A language by what a block has in it, text without a sign."""
     low = F.lower(content)
-    signs = (("xml", "<?xml"), ("java", "public class"), ("java", "import java"), ("sql", "select "), ("python", "def "), ("javascript", "function "), ("bash", "#!/"))
-    out = F.lit("text")
-    for name, sign in reversed(signs):
-        out = F.when(F.contains(low, F.lit(sign)), name).otherwise(out)
-    return out
+    has = lambda text: F.contains(low, F.lit(text))
+    signs = {name: F.array_contains(F.array(*map(has, texts)), True) for name, texts in LANGUAGE_TEXTS.items()}
+    signs["python"] = signs["python"] | (has("import ") & has(":"))
+    signs["drl"] = has(DRL_TEXTS[0]) & has(DRL_TEXTS[1]) & has(DRL_TEXTS[2])
+    return F.coalesce(*[F.when(sign, F.lit(name)) for name, sign in signs.items()], F.lit("text"))
 
 
 def build_rules(suggestions: DataFrame, fences: DataFrame, accepted: DataFrame | None = None) -> DataFrame:

@@ -313,10 +313,13 @@ def dup_hash_groups(spark, d):
     return consolidate.groups(_assets(spark, d))
 
 
-@_query("consolidation_plan", f"""WITH g AS (SELECT *, regexp_extract(prime, '([^/]*)$', 1) AS name FROM {GROUPS_SQL}), n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY prime) AS place, regexp_extract(name, '(\\.[^./]+)$', 1) AS ext FROM g)
-SELECT a.path, concat('assets/global/', CASE WHEN place = 1 THEN name ELSE concat(left(name, length(name) - length(ext)), '-', place::VARCHAR, ext) END) AS new_path, CASE WHEN a.path = n.prime THEN 'move' ELSE 'delete' END AS action FROM {ASSETS_SQL} a JOIN n ON a.sha256 = n.sha256""")
+@_query("consolidation_plan", f"""WITH g AS (SELECT *, regexp_extract(prime, '([^/]*)$', 1) AS name FROM {GROUPS_SQL})
+SELECT a.path, CASE WHEN a.path = g.prime THEN 'move' ELSE 'delete' END AS action, count(*) OVER ()::BIGINT AS files, (SELECT count(*) FROM g)::BIGINT AS targets FROM {ASSETS_SQL} a JOIN g ON a.sha256 = g.sha256""")
 def consolidation_plan(spark, d):
-    return consolidate.plan(_assets(spark, d))
+    """The plan's actions, and that it has as many distinct targets as there are groups."""
+    found = consolidate.plan(_assets(spark, d))
+    sums = found.agg(F.count("*").alias("files"), F.count_distinct("new_path").alias("targets"))
+    return found.select("path", "action").join(F.broadcast(sums.withColumn("one", F.lit(1))), F.lit(1) == F.col("one")).select("path", "action", "files", "targets")
 
 
 @_query("asset_refs_missing", "SELECT doc_id, concat('assets/images/', (doc_id % 50)::VARCHAR, '.png') AS path FROM documents WHERE doc_id % 50 >= 25")

@@ -17,7 +17,6 @@ from leafmill.operators import state
 USER_AGENT = "Mozilla/5.0 (compatible; archive)"
 TIMEOUT_S = 20
 SIDECAR = "title string, date string, author string, categories array<string>, tags array<string>, original_url string"
-FETCHED = "url string, status int, body string, error string"
 
 
 def _stem(column: str = "_metadata.file_path"):
@@ -77,29 +76,85 @@ class Config:
         return cls(root, at("source", "posts_dir", "legacy/posts"), at("source", "assets_dir", "legacy/assets"), at("output", "md_dir", "output/md"), Path(project_dir) / "enriched", (raw.get("filter") or {}).get("author", ""), raw)
 
 
-def http_get(url: str) -> tuple[int, str]:
-    """The status and body of an address; the only place that uses the network."""
+def http_bytes(url: str) -> tuple[int, bytes, str]:
+    """The status, bytes and character set of an address, whatever the status; the only place that uses the network."""
+    import urllib.error
     import urllib.request
 
-    with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": USER_AGENT}), timeout=TIMEOUT_S) as answer:
-        return answer.status, answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": USER_AGENT}), timeout=TIMEOUT_S) as answer:
+            return answer.status, answer.read(), answer.headers.get_content_charset() or "utf-8"
+    except urllib.error.HTTPError as answer:
+        return answer.code, answer.read(), "utf-8"
 
 
-def fetch(addresses: DataFrame, get: Callable[[str], tuple[int, str]] = http_get) -> DataFrame:
-    """(url, status, body, error) of addresses (url); what goes wrong is in error. get takes the place of the network in tests."""
+def http_get(url: str) -> tuple[int, str]:
+    """The status and text of an address."""
+    status, body, charset = http_bytes(url)
+    return status, body.decode(charset, "replace")
 
+
+def _fetched(addresses: DataFrame, get: Callable[[str], tuple], body: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for url in pdf["url"]:
+            for url in pdf["url"]:  # a row at a time, so that no batch of bodies is held
                 try:
-                    status, body = get(url)
-                    out.append((url, status, body, None))
+                    status, found = get(url)[:2]
+                    row = (url, status, found, None)
                 except Exception as wrong:  # one address must not stop the others
-                    out.append((url, getattr(wrong, "code", None), None, f"Fetch error: {wrong}"))
-            yield pd.DataFrame(out, columns=["url", "status", "body", "error"]).astype({"status": "Int32"})
+                    row = (url, None, None, f"Fetch error: {wrong}")
+                yield pd.DataFrame([row], columns=["url", "status", "body", "error"]).astype({"status": "Int32"})
+
+    return addresses.select("url").mapInPandas(run, f"url string, status int, body {body}, error string")
+
+
+def fetch(addresses: DataFrame, get: Callable[[str], tuple[int, str]] = http_get) -> DataFrame:
+    """(url, status, body, error) of addresses (url); a status other than 200 is no error here, what breaks is. get takes
+    the place of the network in tests."""
+    return _fetched(addresses, get, "string")
+
+
+def download(addresses: DataFrame, get: Callable[[str], tuple] = http_bytes) -> DataFrame:
+    """(url, status, body, error) of assets (url), with their bytes."""
+    return _fetched(addresses, get, "binary")
+
+
+def export_assets(assets: DataFrame, folder: str) -> None:
+    """A file for each asset (path, body) under a folder that all tasks share; whole or not at all."""
+
+    def write(rows) -> None:
+        for row in rows:
+            target = os.path.normpath(os.path.join(folder, row["path"]))
+            if not target.startswith(os.path.join(os.path.normpath(folder), "")):
+                raise ValueError(f"{row['path']} leads out of the folder")
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            part = f"{target}.{os.getpid()}.part"
+            with open(part, "wb") as f:
+                f.write(row["body"] or b"")
+            os.replace(part, target)
+
+    assets.select("path", "body").foreachPartition(write)
+
+
+ARCHIVE = "https://archive.org/wayback/available?url="  # a fixed value: the public archive's lookup
+GISTS = "https://api.github.com/gists/"  # a fixed value: the public address of a gist's files
+
+
+def archived(addresses: DataFrame, get: Callable[[str], tuple[int, str]] = http_get) -> DataFrame:
+    """(url, archived) of addresses (url): the closest snapshot that the archive's answer names, null without one."""
+    asked = addresses.select("url", F.concat(F.lit(ARCHIVE), F.url_encode("url")).alias("ask"))
+    answers = fetch(asked.select(F.col("ask").alias("url")).distinct(), get).withColumnRenamed("url", "ask")
+    closest = F.get_json_object("body", "$.archived_snapshots.closest.url")
+    return asked.join(answers, "ask", "left").select("url", F.when(F.col("status") == 200, F.nullif(closest, F.lit(""))).alias("archived"))
+
 
-    return addresses.select("url").mapInPandas(run, FETCHED)
+def read_gists(ids: DataFrame, get: Callable[[str], tuple[int, str]] = http_get) -> DataFrame:
+    """(gist_id, files) of gists (gist_id) that answer with 200, by file name."""
+    asked = ids.select("gist_id", F.concat(F.lit(GISTS), "gist_id").alias("url")).distinct()
+    files = F.from_json(F.get_json_object("body", "$.files"), "map<string,struct<filename:string,language:string,content:string>>")
+    found = fetch(asked.select("url"), get).filter("status = 200").join(asked, "url")
+    listed = F.transform(F.array_sort(F.map_entries(files)), lambda e: F.struct(e["key"].alias("name"), F.coalesce(e["value"]["language"], F.lit("")).alias("language"), F.coalesce(e["value"]["content"], F.lit("")).alias("content")))
+    return found.select("gist_id", listed.alias("files")).filter("files IS NOT NULL")
 
 
 def write_snapshot(df: DataFrame, path: str, *by: str) -> None:

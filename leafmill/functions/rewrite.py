@@ -625,7 +625,7 @@ def load_article(markup: str | None) -> Node | None:
 
 # ---- code fences of Markdown
 
-_FENCES = re.compile(r"^(```+)(\w*)\n(.*?)^\1\s*$", re.M | re.S)
+_FENCES = re.compile(r"^(```+)(\w*)\n(.*?)^\1[ \t]*$", re.M | re.S)
 
 
 def fences(md: str | None) -> list[tuple[int, int, int, str, str]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.scratch import Table
@@ -71,28 +71,28 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
     targets = source_targets(sized, weights, max_repeats).withColumnRenamed("source", "mix_source")
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("mix_source")))
+    return joined.select("doc_id", "source", "size", "source_size", "target", _copies(F.col("doc_id"), seed, max_repeats).alias("copies"))
+
+
+def _copies(doc_id: Column, seed: str, max_repeats: int) -> Column:
+    """floor(rate), and one more if the number drawn for the id is below the fraction; of columns source_size, target."""
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(max_repeats)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / UNIT
-    return (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("mix_source")))
-        .withColumn("rate", rate)
-        .withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies")
-    )
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / UNIT
+    return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """The mixed corpus: each row of docs, with all its columns, as many times as plan() takes it."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    targets = source_targets(docs.select(F.col(source_col).alias("source"), size.alias("size")), weights, max_repeats).select(
-        F.col("source").alias("__mix_source"),
-        F.when(F.col("source_size") > 0, F.least(F.lit(float(max_repeats)), F.col("target") / F.col("source_size"))).otherwise(0.0).alias("__mix_rate"),
-    )
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / UNIT
-    rate = F.col("__mix_rate")
-    copies = (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
-    joined = docs.join(targets, docs[source_col].eqNullSafe(F.col("__mix_source")))
-    return joined.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
+    """The mixed corpus: each row of docs, with all its columns whatever their names, as many times as plan() takes it.
+
+    A null text has size 0 and is taken at its source's rate, as an empty one is; a null source is a source, the last.
+    Repeated rows and rows of one id are taken equally often; an empty table stays empty.
+    """
+    size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
+    targets = source_targets(docs.select(docs[source_col].alias("source"), size.alias("size")), weights, max_repeats).withColumnRenamed("source", "mix_source")
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[id_col].alias("id"), docs[source_col].alias("source"))
+    joined = packed.join(targets, F.col("source").eqNullSafe(F.col("mix_source")))
+    return joined.select("doc", F.explode(F.array_repeat(F.lit(1), _copies(F.col("id"), seed, max_repeats).cast("int")))).select("doc.*")
 
 
 PLAN_SQL = r"""

@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import re
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: set[str] = set()
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; the warehouse, which executors share too, where it is unset."""
+    """The folder that spark.checkpoint.dir names; where it is unset, as in tests, a folder of this application in the
+    warehouse, which executors share too. A local one goes when the driver's process ends."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if named:
+        return named.rstrip("/")
+    own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{spark.sparkContext.applicationId}"
+    local = re.sub("^file:/*", "/", own)
+    if local.startswith("/") and local not in _own:
+        _own.add(local)
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+    return own
 
 
 class Table:

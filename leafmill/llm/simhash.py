@@ -175,10 +175,11 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each class of near copies: one with the smallest id.
 
-    Of several rows with that id in one class, any one stays; of a class of null ids, too. Columns stay as they are.
+    Of several rows with that id in one class, any one stays; of a class of null ids, too. Columns stay as they are,
+    whatever their names. A null text counts as empty; an empty table stays empty.
     """
-    prints = Table(docs.withColumn("__fp", fingerprint_column(F.col(text_col), words)).withColumn("__row", F.monotonically_increasing_id()), "printed").df
-    found = classes(prints.select(F.col(id_col).alias("doc_id"), F.col("__fp").alias("fp")), radius)
-    first = prints.select("__row", "__fp", F.col(id_col).alias("__id")).join(found, F.col("__fp") == F.col("fp")).filter(F.col("__id").eqNullSafe(F.col("class_id")))
-    kept = first.groupBy("class_fp").agg(F.min("__row").alias("__kept")).select("__kept")
-    return prints.join(kept, F.col("__row") == F.col("__kept")).select(*docs.columns)
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[id_col].alias("id"), fingerprint_column(docs[text_col], words).alias("fp")).withColumn("row", F.monotonically_increasing_id())
+    prints = Table(packed, "printed").df
+    found = classes(prints.select(F.col("id").alias("doc_id"), "fp"), radius)
+    kept = prints.select("row", "id", "fp").join(found, "fp").filter(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("class_fp").agg(F.min("row").alias("row")).select("row")
+    return prints.join(kept, "row").select("doc.*")

@@ -132,44 +132,42 @@ def host_rollup(spark, d):
     return _table(spark, d, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"), F.count_distinct(urls.path(F.col("url"))).alias("paths")).filter("pages > 1")
 
 
-@_query("page_title", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
-def page_title(spark, d):
-    return _table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-
-
 @_query("page_hash12", "SELECT page_id, substr(sha256(html), 1, 12) AS hash FROM pages")
 def page_hash12(spark, d):
     return _table(spark, d, "pages").select("page_id", state.short_hash(F.col("html")).alias("hash"))
 
 
-@_query("page_link_counts", "SELECT page_id, len(regexp_extract_all(html, '<a href'))::BIGINT AS links, len(regexp_extract_all(html, '<p>'))::BIGINT AS paragraphs FROM pages")
-def page_link_counts(spark, d):
-    count = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
-    return _table(spark, d, "pages").select("page_id", count("<a href").alias("links"), count("<p>").alias("paragraphs"))
+@_query("dom_element_counts", """SELECT page_id, (1 + len(regexp_extract_all(regexp_extract(html, '<article>.*</article>', 0, 's'), '<(?:h1|p|b|br)>')))::BIGINT AS elements FROM pages""")
+def dom_element_counts(spark, d):
+    """Elements of each page's article, from the parsed relation."""
+    return dom_nodes(_table(spark, d, "pages"), "page_id").groupBy("page_id").agg(F.count("*").alias("elements"))
 
 
-@_query("repeated_nav_links", "SELECT page_id, href, count(*)::BIGINT AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY 1, 2 HAVING count(*) >= 2")
-def repeated_nav_links(spark, d):
-    refs = _table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
-    return refs.groupBy("page_id", "href").agg(F.count("*").alias("n")).filter("n >= 2")
+ARTICLE = "regexp_extract(html, '<article>.*</article>', 0, 's')"
 
 
-@_query("page_tag_counts", "SELECT tag, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) GROUP BY 1")
-def page_tag_counts(spark, d):
-    return _table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)[ >]"), 1)).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+@_query("page_title", "SELECT page_id, replace(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\\s+', ' ', 'g')), '&amp;', '&') AS title FROM pages")
+def page_title(spark, d):
+    """Titles as the extraction of posts finds them."""
+    fetched = _table(spark, d, "pages").select(F.col("page_id").cast("string").alias("url"), F.lit(200).alias("status"), F.col("html").alias("body"), F.lit(None).cast("string").alias("error"))
+    return page_ops.extract_posts(fetched).select(F.col("url").cast("long").alias("page_id"), "title")
 
 
-@_query("dom_element_counts", """SELECT page_id, (1 + len(regexp_extract_all(regexp_extract(html, '<article>.*</article>', 0, 's'), '<(?:h1|p|b|br)>')))::BIGINT AS elements FROM pages""")
-def dom_element_counts(spark, d):
-    """Elements of each page's article, from the parsed relation."""
-    return dom_nodes(_table(spark, d, "pages"), "page_id").groupBy("page_id").agg(F.count("*").alias("elements"))
+@_query("page_tag_counts", f"SELECT tag, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all({ARTICLE}, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) GROUP BY 1")
+def page_tag_counts(spark, d):
+    """Elements of all articles by tag."""
+    return dom_nodes(_table(spark, d, "pages"), "page_id").groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@_query("dom_nth_of_type")
+@_query("dom_nth_of_type", f"SELECT page_id, n AS elements, n AS agreeing FROM (SELECT page_id, (1 + len(regexp_extract_all({ARTICLE}, '<(?:h1|p|b|br)>')))::BIGINT AS n FROM pages)")
 def dom_nth_of_type(spark, d):
-    """Place of each element among siblings of its tag, by a window over the relation."""
-    nodes = dom_nodes(_table(spark, d, "pages"), "page_id")
-    return nodes.select("page_id", "node_id", "tag", F.row_number().over(Window.partitionBy("page_id", "parent_id", "tag").orderBy("node_id")).alias("nth"), "selector")
+    """Elements of each page, and those whose selector tells the place among siblings of their tag that a window over
+    the relation gives them."""
+    nodes = dom_nodes(_table(spark, d, "pages"), "page_id").select("page_id", "node_id", "parent_id", "tag", "selector")
+    alike = Window.partitionBy("page_id", "parent_id", "tag")
+    placed = nodes.withColumns({"nth": F.row_number().over(alike.orderBy("node_id")), "of": F.count("*").over(alike)})
+    step = F.when(F.col("of") == 1, F.col("tag")).otherwise(F.concat("tag", F.lit(":nth-of-type("), F.col("nth").cast("string"), F.lit(")")))
+    return placed.groupBy("page_id").agg(F.count("*").alias("elements"), F.count_if(F.element_at(F.split("selector", " > "), -1) == step).alias("agreeing"))
 
 
 _NUMBERED = {
@@ -193,9 +191,14 @@ def issue_list(spark, d):
     return _issues(spark, d)[0].select("doc_id", "type")
 
 
-@_query("issue_breakdown", f"SELECT type, count(DISTINCT doc_id)::BIGINT AS posts, count(*)::BIGINT AS issues FROM ({ISSUES_SQL}) GROUP BY 1")
+@_query("issue_breakdown", f"SELECT type, count(DISTINCT doc_id)::BIGINT AS posts FROM ({ISSUES_SQL}) GROUP BY 1")
 def issue_breakdown(spark, d):
-    return _issues(spark, d)[0].groupBy("type").agg(F.count_distinct("doc_id").alias("posts"), F.count("*").alias("issues"))
+    return posts.breakdown(_issues(spark, d)[0].select(F.col("doc_id").alias("slug"), "type"))
+
+
+@_query("issue_summary", f"SELECT type, count(*)::BIGINT AS n FROM ({ISSUES_SQL}) GROUP BY 1")
+def issue_summary(spark, d):
+    return detect.summary(_issues(spark, d)[0])
 
 
 @_query("issue_rollup_author_type", f"SELECT author, type, count(DISTINCT doc_id)::BIGINT AS posts FROM ({ISSUES_SQL}) GROUP BY ROLLUP (author, type)")
@@ -224,10 +227,12 @@ def dismissals_retained(spark, d):
     return state.kept_dismissals(_dismissals(spark, d), found).select(F.col("slug").alias("doc_id"), "type")
 
 
-@_query("detectors_all")
+@_query("detectors_all", "SELECT page_id, 0 AS issues FROM pages")
 def detectors_all(spark, d):
-    """All detectors over the real pages."""
-    return detect.scan(dom_nodes(_table(spark, d, "pages"), "page_id")).select("page_id", "node_id", "type", "level", "detail", "selector")
+    """How many issues of any kind the articles of the real pages have: none."""
+    nodes = dom_nodes(_table(spark, d, "pages"), "page_id")
+    found = detect.scan_all(nodes).groupBy("page_id").agg(F.count("*").cast("int").alias("issues"))
+    return _table(spark, d, "pages").select("page_id").join(found, "page_id", "left").na.fill(0, ["issues"])
 
 
 def _state(spark, d) -> DataFrame:
@@ -270,11 +275,6 @@ def search_title_body(spark, d):
     return posts.search(made, "12", "title").union(posts.search(made, "Thinth", "body")).distinct().select(F.col("slug").alias("doc_id"))
 
 
-@_query("posts_by_author_sorted", f"SELECT author, doc_id, row_number() OVER (PARTITION BY author ORDER BY date, doc_id)::BIGINT AS place FROM ({SYN_STATE})")
-def posts_by_author_sorted(spark, d):
-    return _state(spark, d).select("author", "doc_id", F.row_number().over(Window.partitionBy("author").orderBy("date", "doc_id")).cast("long").alias("place"))
-
-
 @_query("distinct_authors", "SELECT DISTINCT source AS author FROM documents")
 def distinct_authors(spark, d):
     return posts.authors(_state(spark, d))
@@ -337,17 +337,6 @@ def asset_totals(spark, d):
     return detect.scan_assets(refs, files).select("doc_id", "total", "localised", "broken")
 
 
-@_query("long_lines", "SELECT doc_id, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x)))::BIGINT AS longest FROM documents")
-def long_lines(spark, d):
-    return _table(spark, d, "documents").select("doc_id", F.array_max(F.transform(F.split("text", "\n"), F.char_length)).cast("long").alias("longest"))
-
-
-@_query("duplicate_paragraphs", "SELECT line, count(*)::BIGINT AS n, min(doc_id)::BIGINT AS first_doc FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 80 GROUP BY 1 HAVING count(*) > 1")
-def duplicate_paragraphs(spark, d):
-    rows = _table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.char_length("line") > 80)
-    return rows.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
-
-
 @_query("word_count_ratio", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::BIGINT AS words FROM documents")
 def word_count_ratio(spark, d):
     return _table(spark, d, "documents").select("doc_id", markdown.words(F.col("text")).cast("long").alias("words"))
@@ -428,12 +417,6 @@ def refine_replay(spark, d):
     return refine_ops.replay(made, refine_ops.build_rules(refine_ops.suggest(found), found), "doc_id").select("doc_id", F.md5("md").alias("md"), F.size("conflicts").alias("conflicts"))
 
 
-@_query("first_k_paragraphs", "SELECT doc_id, line, place FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS place FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE length(line) BETWEEN 80 AND 600) WHERE place <= 8")
-def first_k_paragraphs(spark, d):
-    rows = _table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.char_length("line").between(80, 600))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).cast("long")).filter("place <= 8").select("doc_id", "line", "place")
-
-
 @_query("posts_extracted")
 def posts_extracted(spark, d):
     """Posts from the pages as if just fetched."""
@@ -461,13 +444,8 @@ def page_images_and_links(spark, d):
     return root.select("page_id", count_inside("img").cast("long").alias("images"), count_inside("b").cast("long").alias("bold"))
 
 
-@_query("element_classes")
+@_query("element_classes", "SELECT 'sharedaddy' AS class, count(*)::BIGINT AS n FROM documents WHERE doc_id % 23 = 0 HAVING count(*) > 0")
 def element_classes(spark, d):
     """Classes of the elements of the made pages."""
     nodes = dom_nodes(_made(spark, d, SYN_PAGES), "doc_id")
     return nodes.select(F.explode("classes").alias("class")).groupBy("class").agg(F.count("*").alias("n"))
-
-
-@_query("event_props_json", "SELECT event_type, count(*)::BIGINT AS n, count_if(json_valid(props))::BIGINT AS valid FROM events GROUP BY 1")
-def event_props_json(spark, d):
-    return _table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.try_parse_json("props").isNotNull()).alias("valid"))

@@ -16,7 +16,7 @@ from leafmill.llm.scratch import partitions, shared_dir
 LENGTH, GRAM, HALF = 50, 16, 32
 CHUNK_BITS = 16
 BLOCK_BYTES = 4_000_000
-#: A shard of more bytes is sorted in parts, which are then merged by binary search.
+#: A suffix array holds so many bytes; several are merged by binary search.
 SHARD_BYTES = 8_000_000
 NO_ID = np.iinfo(np.int64).max
 
@@ -112,13 +112,53 @@ def _ranks(data: np.ndarray, rest: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
+def _common(data: np.ndarray, at: np.ndarray, order: np.ndarray, n_strings: np.ndarray) -> np.ndarray:
+    """Kasai's scan: for each place of the suffix array order (of strings, which start at places at), how many of its
+    LENGTH bytes a string has in common with the one before it.
+
+    The scan goes through all contexts in step, one place of each at a time: what a string has in common with its
+    neighbour, the next string has but one byte less, if the string after the neighbour comes before it in the array.
+    """
+    n = len(at)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    lasts = np.zeros(n, bool)  # the last string of its context
+    ends = np.cumsum(n_strings)
+    lasts[ends[n_strings > 0] - 1] = True
+    first = ends - n_strings
+    common, held = np.zeros(n, np.int64), np.zeros(len(n_strings), np.int64)
+    lanes = np.nonzero(n_strings > 0)[0]
+    step = 0
+    while len(lanes):
+        i = first[lanes] + step
+        j = before[i]
+        h = np.zeros(len(lanes), np.int64)
+        if step:
+            old = before[i - 1]
+            safe = (old >= 0) & ~lasts[old]
+            follows = np.where(safe, old + 1, 0)
+            carried = safe & (place[follows] < place[i])
+            h[carried] = np.maximum(held[lanes[carried]] - 1, 0)
+        open_ = np.nonzero(j >= 0)[0]
+        while len(open_):
+            open_ = open_[h[open_] < LENGTH]
+            open_ = open_[data[at[i[open_]] + h[open_]] == data[at[j[open_]] + h[open_]]]
+            h[open_] += 1
+        common[place[i]] = h
+        held[lanes] = h
+        step += 1
+        lanes = lanes[n_strings[lanes] > step]
+    return common
+
+
 def _shard(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The strings of one shard's contexts: each string's class, the context it is of, and for each class, in
     ascending order of strings, a place in the joined bytes; and those bytes.
 
-    Classes come from the suffix array of the joined contexts: neighbours in it with LENGTH bytes in common fall
-    into one. Two suffixes share 50 bytes if their first 32 and those from 18 on are in the same groups of the
-    refinement, so the common prefixes are read off the ranks and Kasai's scan is not run byte by byte.
+    The shard's suffix array orders its strings by the ranks of their first 32 bytes and of those from 18 on, which
+    cover LENGTH; neighbours in it with LENGTH bytes in common fall into one class.
     """
     data = np.frombuffer(b"".join(contexts), np.uint8)
     lens = np.fromiter(map(len, contexts), np.int64, len(contexts))
@@ -126,17 +166,17 @@ def _shard(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     rank = _ranks(data, np.repeat(ends, lens) - np.arange(len(data)), HALF)
     n_strings = lens - LENGTH + 1
     of = np.repeat(np.arange(len(lens)), n_strings)
-    at = np.arange(n_strings.sum()) - np.repeat(np.cumsum(n_strings) - n_strings, n_strings) + np.repeat(np.cumsum(lens) - lens, n_strings)
-    keys = rank[at] * (len(data) + 1) + rank[at + LENGTH - HALF]
-    by = np.argsort(keys)
-    opens = np.concatenate([[True], keys[by][1:] != keys[by][:-1]])
-    kind = np.empty(len(by), np.int64)
-    kind[by] = np.cumsum(opens) - 1
-    return kind, of, at[by[opens]], data
+    at = np.arange(n_strings.sum()) - np.repeat(np.cumsum(n_strings) - n_strings, n_strings) + np.repeat(ends - lens, n_strings)
+    order = np.argsort(rank[at] * (len(data) + 1) + rank[at + LENGTH - HALF])
+    opens = _common(data, at, order, n_strings) < LENGTH
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(opens) - 1
+    return kind, of, at[order[opens]], data
 
 
 def least_ids(contexts: list[bytes], ids: np.ndarray, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
-    """For each context, the smallest id of any context that has each of its strings."""
+    """For each context, the smallest id of any context that has each of its strings: a suffix array for each shard of
+    shard_bytes, whose strings are looked up in those of the other shards by binary search."""
     parts, size = [[]], 0
     for k, c in enumerate(contexts):
         if size + len(c) > shard_bytes and parts[-1]:
@@ -218,9 +258,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     All suffixes of all shards can't meet, so strings meet by their anchors (see runs). Documents are cut into
     blocks. Anchors that occur in one document only are dropped; for the others, each block sends one copy of each
-    distinct context of an anchor to the anchor's shard. A shard builds the suffix array of its contexts and finds
-    for each string the smallest id that has it; of more than shard_bytes bytes, it builds several, whose sorted
-    strings are looked up in each other by binary search. One bit for each string goes back to the blocks. No step
+    distinct context of an anchor to the anchor's part. A part builds the suffix array of each shard of shard_bytes
+    bytes of its contexts, finds by the common prefixes of neighbours which strings are equal, and merges the shards by
+    binary search. One bit for each string goes back to the blocks. No step
     drops a repeated string, and a passage that a third of all documents share is sent once by each block.
 
     A null text counts as empty. A null id is larger than all others; rows of one id don't remove from each other.

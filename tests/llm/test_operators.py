@@ -385,3 +385,20 @@ def test_pipeline(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == sorted((r["doc_id"], r["text"]) for r in rows)
+
+
+def test_common_prefixes_of_neighbours():
+    rng = random.Random(7)
+    contexts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(50, 90))) for _ in range(60)]
+    contexts += [b"a" * 80, b"a" * 70 + b"b" * 20, contexts[0][5:] + b"abab", contexts[0]]
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    starts, n = [], 0
+    for c in contexts:
+        starts += [n + k for k in range(len(c) - 49)]
+        n += len(c)
+    at = np.array(starts)
+    strings = [data[k : k + 50].tobytes() for k in starts]
+    order = np.array(sorted(range(len(strings)), key=lambda k: strings[k]))
+    got = suffixes._common(data, at, order, np.array([len(c) - 49 for c in contexts]))
+    same = lambda a, b: next((k for k in range(50) if a[k] != b[k]), 50)
+    assert got.tolist() == [0, *[same(strings[a], strings[b]) for a, b in zip(order[:-1], order[1:])]]

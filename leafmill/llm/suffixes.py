@@ -11,13 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.bpe import _pack, _unpack
-from leafmill.llm.scratch import partitions, shared_dir
+from leafmill.llm.scratch import give_back, partitions, shared_dir
 
 LENGTH, GRAM, HALF = 50, 16, 32
 CHUNK_BITS = 16
 BLOCK_BYTES = 4_000_000
-#: A suffix array holds so many bytes; several are merged by binary search.
-SHARD_BYTES = 8_000_000
+#: Anchors are looked for in pieces of about so many bytes of whole documents, which bounds the memory of a block.
+PIECE_BYTES = 1 << 18
+#: Contexts of a part are dealt by their anchors to groups of about so many bytes, of FINE at most, sorted one by one.
+GROUP_BYTES, FINE = 750_000, 65536
+#: A suffix array holds so many bytes; several are merged by binary search, so many strings at a time.
+SHARD_BYTES, MERGE_STRINGS = 2_000_000, 300_000
+#: So many blocks, at most, for each part in which contexts meet.
+PART_BLOCKS = 5
+#: Runs are written back so many at a time.
+STRIKE_RUNS = 1 << 14
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -153,9 +161,9 @@ def _common(data: np.ndarray, at: np.ndarray, order: np.ndarray, n_strings: np.n
     return common
 
 
-def _shard(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The strings of one shard's contexts: each string's class, the context it is of, and for each class, in
-    ascending order of strings, a place in the joined bytes; and those bytes.
+def _shard(contexts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The strings of one shard's contexts: each string's class, and for each class, in ascending order of strings, the
+    smallest id of its contexts and a place in the joined bytes; and those bytes.
 
     The shard's suffix array orders its strings by the ranks of their first 32 bytes and of those from 18 on, which
     cover LENGTH; neighbours in it with LENGTH bytes in common fall into one class.
@@ -169,48 +177,57 @@ def _shard(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     at = np.arange(n_strings.sum()) - np.repeat(np.cumsum(n_strings) - n_strings, n_strings) + np.repeat(ends - lens, n_strings)
     order = np.argsort(rank[at] * (len(data) + 1) + rank[at + LENGTH - HALF])
     opens = _common(data, at, order, n_strings) < LENGTH
-    kind = np.empty(len(order), np.int64)
+    kind = np.empty(len(order), np.int32)
     kind[order] = np.cumsum(opens) - 1
-    return kind, of, at[order[opens]], data
+    return kind, np.minimum.reduceat(ids[of[order]], np.nonzero(opens)[0]), at[order[opens]].astype(np.int32), data
 
 
-def least_ids(contexts: list[bytes], ids: np.ndarray, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
-    """For each context, the smallest id of any context that has each of its strings: a suffix array for each shard of
-    shard_bytes, whose strings are looked up in those of the other shards by binary search."""
-    parts, size = [[]], 0
+def _strings(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The strings at places of data, with a last byte that keeps a zero at the end."""
+    out = np.ones((len(at), LENGTH + 1), np.uint8)
+    out[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at]
+    return out.reshape(-1).view(f"S{LENGTH + 1}")
+
+
+def _merge(done: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], strings: int = MERGE_STRINGS) -> None:
+    """Give each class of each shard the smallest id that any shard has for its string.
+
+    The shards' ordered strings are cut at the same strings into ranges of about so many strings; only one range is
+    spelt out at a time, in which each shard's strings are looked up by binary search in those of the shards before.
+    """
+    ranges = -(-sum(len(at) for _, _, at, _ in done) // strings)
+    step = max(1, strings // 64)
+    sample = np.sort(np.concatenate([_strings(data, at[::step]) for _, _, at, data in done]))
+    splits = np.unique(sample[np.arange(1, ranges) * len(sample) // ranges])
+    cuts = [np.concatenate([[0], np.searchsorted(_strings(data, at), splits), [len(at)]]) for _, _, at, data in done]
+    for r in range(len(splits) + 1):
+        known, low = np.empty(0, f"S{LENGTH + 1}"), np.empty(0, np.int64)
+        for (_, least, at, data), cut in zip(done, cuts):
+            own, mine = _strings(data, at[cut[r] : cut[r + 1]]), least[cut[r] : cut[r + 1]]
+            place = np.searchsorted(known, own)
+            same = np.zeros(len(own), bool)
+            if len(known):
+                same = known[np.minimum(place, len(known) - 1)] == own
+            low[place[same]] = np.minimum(low[place[same]], mine[same])
+            known, low = np.insert(known, place[~same], own[~same]), np.insert(low, place[~same], mine[~same])
+        for (_, least, at, data), cut in zip(done, cuts):
+            least[cut[r] : cut[r + 1]] = low[np.searchsorted(known, _strings(data, at[cut[r] : cut[r + 1]]))]
+
+
+def least_ids(contexts: list[bytes], ids: np.ndarray, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
+    """For each string of each context in turn, the smallest id of any context that has it: a suffix array for each
+    shard of shard_bytes, whose strings are looked up in those of the other shards by binary search."""
+    cuts, size = [0], 0
     for k, c in enumerate(contexts):
-        if size + len(c) > shard_bytes and parts[-1]:
-            parts.append([])
+        if size + len(c) > shard_bytes and k > cuts[-1]:
+            cuts.append(k)
             size = 0
-        parts[-1].append(k)
         size += len(c)
-    done = []
-    for part in parts:
-        kind, of, at, data = _shard([contexts[k] for k in part])
-        least = np.full(len(at), NO_ID, np.int64)
-        np.minimum.at(least, kind, ids[part][of])
-        if len(parts) > 1:  # sorted strings, with a last byte that keeps a zero at the end
-            strings = np.ones((len(at), LENGTH + 1), np.uint8)
-            strings[:, :LENGTH] = data[at[:, None] + np.arange(LENGTH)]
-            strings = strings.reshape(-1).view(f"S{LENGTH + 1}")
-            up = np.argsort(strings, kind="stable")
-            done.append((kind, of, least, strings[up], up))
-        else:
-            done.append((kind, of, least, None, None))
-    for x in range(len(parts)):
-        for y in range(x):
-            a, b = done[x], done[y]
-            at = np.minimum(np.searchsorted(b[3], a[3]), len(b[3]) - 1)
-            same = b[3][at] == a[3]
-            mine, theirs = a[4][same], b[4][at[same]]
-            low = np.minimum(a[2][mine], b[2][theirs])
-            a[2][mine], b[2][theirs] = low, low
-    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(contexts)
-    for part, (kind, of, least, *_) in zip(parts, done):
-        cuts = np.cumsum(np.bincount(of, minlength=len(part)))[:-1]
-        for k, x in zip(part, np.split(least[kind], cuts)):
-            out[k] = x
-    return out
+    cuts.append(len(contexts))
+    done = [_shard(contexts[a:b], ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+    if len(done) > 1:
+        _merge(done)
+    return np.concatenate([least[kind] for kind, least, _, _ in done])
 
 
 class _Block:
@@ -232,7 +249,15 @@ class _Block:
         return self
 
     def runs(self):
-        return runs(np.frombuffer(self.data, np.uint8), self.lens)
+        """The runs of all documents, found in pieces of whole documents."""
+        ends = np.cumsum(self.lens)
+        data, out, doc, begin = np.frombuffer(self.data, np.uint8), [], 0, 0
+        while doc < len(ends):
+            stop = max(doc + 1, int(np.searchsorted(ends, begin + PIECE_BYTES, side="right")))
+            hashes, docs, first, last = runs(data[begin : ends[stop - 1]], self.lens[doc:stop])
+            out.append((hashes, docs + doc, first + begin, last + begin))
+            doc, begin = stop, int(ends[stop - 1])
+        return tuple(map(np.concatenate, zip(*out)))
 
     def shared(self, payloads) -> tuple[tuple[np.ndarray, ...], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """The runs with an anchor that another document has; their distinct contexts with their anchors and
@@ -258,10 +283,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     All suffixes of all shards can't meet, so strings meet by their anchors (see runs). Documents are cut into
     blocks. Anchors that occur in one document only are dropped; for the others, each block sends one copy of each
-    distinct context of an anchor to the anchor's part. A part builds the suffix array of each shard of shard_bytes
-    bytes of its contexts, finds by the common prefixes of neighbours which strings are equal, and merges the shards by
-    binary search. One bit for each string goes back to the blocks. No step
-    drops a repeated string, and a passage that a third of all documents share is sent once by each block.
+    distinct context of an anchor to the anchor's part; parts grow in number with the blocks, not in size. A part deals
+    its contexts by their anchors to groups of bounded size. For each it builds the suffix array of each shard of
+    shard_bytes bytes, finds by the common prefixes of neighbours which strings are equal, and merges the shards, of
+    which only a group of one frequent anchor has several, by binary search. One bit for each string goes back to the
+    blocks. No step drops a repeated string, and a passage that a third of all documents share is sent once by each block.
 
     A null text counts as empty. A null id is larger than all others; rows of one id don't remove from each other.
     Strings never cross documents; they are judged on the input. Ids are integers.
@@ -296,6 +322,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 raw = (text or "").encode("utf-8")
                 if texts and size + len(raw) > block_bytes:
                     yield rows(ids, texts)
+                    give_back()
                     ids, texts, size, number = [], [], 0, number + 1
                 ids.append(None if pd.isna(doc_id) else int(doc_id))
                 texts.append(raw)
@@ -318,34 +345,58 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cuts = np.cumsum(list(map(len, found)))[:-1]
         return pd.DataFrame({"block": pdf["block"].to_numpy(), "payload": [_pack(h[many[k]]) for h, k in zip(found, np.split(kind, cuts))]})
 
+    def places(anchors: np.ndarray):
+        """(part, places) of the anchors by the parts in which their contexts meet."""
+        part = (anchors % np.uint64(n_sorts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        cuts = np.nonzero(np.diff(part[by], prepend=-1))[0]
+        return [(int(part[own[0]]), own) for own in np.split(by, cuts[1:])] if len(by) else []
+
     def send(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for number, payload in zip(left["block"], left["payload"]):
             _, contexts, anchors, least, _ = _Block.read(payload).shared(right["payload"])
-            part = (anchors % np.uint64(parts)).astype(np.int64)
-            for p in np.unique(part):
-                mine = np.nonzero(part == p)[0]
-                own = [contexts[k] for k in mine]
-                out.append((number, int(p), _pack(np.fromiter(map(len, own), "<u4", len(own)), least[mine], b"".join(own))))
+            for p, mine in places(anchors):
+                own = [contexts[k] for k in mine.tolist()]
+                fine = (anchors[mine] // np.uint64(n_sorts) % np.uint64(FINE)).astype("<u2")
+                out.append((number, p, _pack(np.fromiter(map(len, own), "<u4", len(own)), least[mine], fine, b"".join(own))))
+        give_back()
         return pd.DataFrame(out, columns=["block", "part", "payload"])
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
         number: dict[bytes, int] = {}
-        of, ids, sizes = [], [], []
+        of, ids, kinds = [], [], []
         for payload in pdf["payload"]:
-            lens, least, blob = _unpack(payload)
+            lens, least, fine, blob = _unpack(payload)
             lens = np.frombuffer(lens, "<u4").astype(np.int64)
             ends = np.cumsum(lens)
-            of.append(np.fromiter((number.setdefault(blob[a:b], len(number)) for a, b in zip((ends - lens).tolist(), ends.tolist())), np.int64, len(lens)))
+            of.append(np.fromiter((number.setdefault(blob[a:b], len(number)) for a, b in zip((ends - lens).tolist(), ends.tolist())), np.int32, len(lens)))
             ids.append(np.frombuffer(least, np.int64))
-            sizes.append(lens - LENGTH + 1)
-        every = np.full(len(number), NO_ID, np.int64)
+            kinds.append(np.frombuffer(fine, "<u2"))
+        contexts = list(number)
+        del number
+        every, kind = np.full(len(contexts), NO_ID, np.int64), np.empty(len(contexts), np.int64)
         np.minimum.at(every, np.concatenate(of), np.concatenate(ids))
-        found = least_ids(list(number), every, shard_bytes)
+        kind[np.concatenate(of)] = np.concatenate(kinds)
+        del kinds
+        lens = np.fromiter(map(len, contexts), np.int64, len(contexts))
+        sizes = lens - LENGTH + 1
+        kind = kind * (1 + lens.sum() // GROUP_BYTES) // FINE
+        by = np.argsort(kind, kind="stable")
+        offsets = np.empty(len(by), np.int64)
+        offsets[by] = np.cumsum(sizes[by]) - sizes[by]
+        found = np.empty(sizes.sum(), np.int64)
+        done = 0
+        for mine in np.split(by, np.nonzero(np.diff(kind[by]))[0] + 1):
+            least = least_ids([contexts[k] for k in mine.tolist()], every[mine], shard_bytes)
+            found[done : done + len(least)] = least
+            done += len(least)
         out = []
-        for block, k, i, n in zip(pdf["block"], of, ids, sizes):
-            flat = np.concatenate([found[x] for x in k]) < np.repeat(i, n) if len(k) else np.empty(0, bool)
-            out.append((block, int(pdf["part"].iloc[0]), _pack(np.packbits(flat))))
+        for block, k, i in zip(pdf["block"], of, ids):
+            n = sizes[k]
+            at = np.repeat(offsets[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out.append((block, int(pdf["part"].iloc[0]), _pack(np.packbits(found[at] < np.repeat(i, n)))))
+        give_back()
         return pd.DataFrame(out, columns=["block", "part", "bits"])
 
     def strike(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -357,20 +408,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             sizes = np.fromiter(map(len, contexts), np.int64, len(contexts)) - LENGTH + 1
             offsets = np.cumsum(sizes) - sizes
             gone = np.zeros(sizes.sum(), bool)  # strings of which an id below the block's least is known
-            part = (anchors % np.uint64(parts)).astype(np.int64)
+            part = dict(places(anchors))
             for p, bits in right[right["bits"].notnull()][["part", "bits"]].itertuples(index=False):
-                mine = np.nonzero(part == p)[0]
+                mine = part[p]
                 n = sizes[mine]
                 at = np.repeat(offsets[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 gone[at] = np.unpackbits(np.frombuffer(_unpack(bits)[0], np.uint8), count=len(at)).astype(bool)
-            n = sizes[of]
-            string = np.repeat(offsets[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            place = place[gone[string] | np.repeat(block.ids[doc] > least[of], n)]
-            step = np.zeros(len(block.data) + 1, np.int32)
-            np.add.at(step, place, 1)
-            np.add.at(step, place + LENGTH, -1)
-            cover = np.cumsum(step)[:-1] > 0
+            hit = np.zeros(len(block.data), bool)  # places where a string starts that goes
+            for a in range(0, len(of), STRIKE_RUNS):
+                run = slice(a, a + STRIKE_RUNS)
+                n = sizes[of[run]]
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                hit[np.repeat(first[run], n) + step] = gone[np.repeat(offsets[of[run]], n) + step] | np.repeat(block.ids[doc[run]] > least[of[run]], n)
+            cover = np.cumsum(hit, dtype=np.int32)
+            cover[LENGTH:] -= cover[:-LENGTH].copy()
+            cover = cover > 0
             data = np.frombuffer(block.data, np.uint8)
             begin = 0
             for doc_id, size in zip(block.ids.tolist(), block.lens.tolist()):
@@ -379,6 +431,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 spans = [{"start": int(a), "stop": int(b)} for a, b in zip(np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0])]
                 out.append((None if doc_id == NO_ID else doc_id, size, int(c.sum()), spans, data[begin : begin + size][~c].tobytes()))
                 begin += size
+        give_back()
         pdf = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
         return pdf.assign(doc_id=pdf["doc_id"].astype("Int64"))
 
@@ -391,6 +444,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = table.filter("kind = 'anchors'").groupBy("part").applyInPandas(meet, "block long, payload binary")
     met.repartition(parts, "block").write.bucketBy(parts, "block").option("compression", "none").option("path", f"{shared_dir(spark)}/leafmill/{met_name}").saveAsTable(met_name)
     met = spark.table(met_name)
+    n_sorts = max(parts, kept.count() // PART_BLOCKS)
     sent = kept.groupBy("block").cogroup(met.groupBy("block")).applyInPandas(send, "block long, part int, payload binary")
     bits = sent.groupBy("part").applyInPandas(sort, "block long, part int, bits binary").repartition(parts, "block")
     back = met.select("block", F.lit(-1).alias("part"), "payload", F.lit(None).cast("binary").alias("bits")).unionByName(bits.select("block", "part", F.lit(None).cast("binary").alias("payload"), "bits"))

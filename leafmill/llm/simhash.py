@@ -29,7 +29,11 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
         return 0
     runs = zip(*(found[k:] for k in range(words))) if len(found) > words else [found]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(x, seed) for x in map(b" ".join, runs)], dtype="<u8")
+    return majority(np.array([digest(x, seed) for x in map(b" ".join, runs)], dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes: the bits set in over half of them."""
     over = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 65536):
         over += np.unpackbits(h[at : at + 65536].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
@@ -104,22 +108,21 @@ def _spanning(fps: np.ndarray, split: int | None, radius: int) -> tuple[np.ndarr
     return fps[moved].view(np.int64), fps[label[moved]].view(np.int64)
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(src, dst) between distinct fingerprints of nodes (column fp): enough links within the radius to connect
-    all that are connected by such links.
+def _dealt(nodes: DataFrame, radius: int) -> tuple[DataFrame, DataFrame] | None:
+    """nodes (column fp) with their block, and rows (pair, block, side) of the pairs of blocks worth comparing; None of
+    fewer than two nodes.
 
     The fingerprints are cut into blocks ordered by the population counts of their quarters. Only the number of
-    fingerprints for each quarter count (17^4 at most) comes to the driver, which plans the blocks and the pairs of
-    blocks worth comparing. A task compares one pair of blocks and returns at most one link for each fingerprint.
+    fingerprints for each quarter count (17^4 at most) comes to the driver, which plans the blocks and the pairs.
     """
     spark = nodes.sparkSession
     quarters = _quarters("fp")
     cell = sum((q * 17 ** (QUARTERS - 1 - k) for k, q in enumerate(quarters)), F.lit(0)).cast("int")
-    nodes = nodes.select("fp", cell.alias("cell"))
+    nodes = nodes.withColumn("cell", cell)
     counts = nodes.groupBy("cell").agg(F.count("*").alias("n")).toPandas().sort_values("cell", ignore_index=True)
     total = int(counts["n"].sum())
     if total < 2:
-        return spark.createDataFrame([], "src long, dst long")
+        return None
     n_blocks = max(min(MIN_BLOCKS, -(-total // 256)), -(-total // BLOCK_ROWS))
     rows = -(-total // n_blocks)
     before = counts["n"].cumsum() - counts["n"]
@@ -133,16 +136,31 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     number = np.arange(len(i))
     table = pd.concat([pd.DataFrame({"pair": number, "block": i, "side": 0}), pd.DataFrame({"pair": number, "block": j, "side": 1})[j != i]])
     plan = spark.createDataFrame(pd.DataFrame({"cell": cells, "before": before, "n": counts["n"]}), "cell int, before long, n long")
-    placed = nodes.join(F.broadcast(plan), "cell").select("fp", F.floor((F.col("before") + F.pmod(F.xxhash64("fp"), F.col("n"))) / rows).cast("int").alias("block"))
+    placed = nodes.join(F.broadcast(plan), "cell").withColumn("block", F.floor((F.col("before") + F.pmod(F.xxhash64("fp"), F.col("n"))) / rows).cast("int"))
+    return placed.drop("cell", "before", "n"), spark.createDataFrame(table, "pair int, block int, side int")
+
+
+def _order(fps: np.ndarray) -> np.ndarray:
+    """The order of fingerprints by the population counts of their quarters."""
+    counts = np.bitwise_count(fps.view("<u2").reshape(-1, QUARTERS))
+    return np.lexsort((fps, *counts.T[::-1]))
+
+
+def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(src, dst) between distinct fingerprints of nodes (column fp): enough links within the radius to connect
+    all that are connected by such links. A task compares one pair of blocks and returns at most one link for each
+    fingerprint.
+    """
+    dealt = _dealt(nodes.select("fp"), radius)
+    if dealt is None:
+        return nodes.sparkSession.createDataFrame([], "src long, dst long")
+    placed, table = dealt
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         fps = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        counts = np.bitwise_count(fps.view("<u2").reshape(-1, QUARTERS))
-        fps = fps[np.lexsort((fps, *counts.T[::-1]))]
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "fps": [fps.tobytes()]})
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "fps": [fps[_order(fps)].tobytes()]})
 
     blocks = Table(placed.groupBy("block").applyInPandas(pack, "block int, fps binary"), "fp-blocks").df
-    table = spark.createDataFrame(table, "pair int, block int, side int")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [np.frombuffer(x, dtype="<u8") for x in pdf.sort_values("side")["fps"]]
@@ -152,6 +170,49 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return blocks.join(F.broadcast(table), "block").groupBy("pair").applyInPandas(compare, "src long, dst long")
 
 
+def closest(nodes: DataFrame, radius: int, ratio: float) -> DataFrame:
+    """(src, dst), src below dst: each row of nodes (row, fp, size; rows from 0 on, below 2^56) with the smallest row within
+    the radius and with the closest one, of equally close ones the smallest; of pairs whose sizes have the ratio at least.
+
+    All pairs of fingerprints are compared, but a row leaves with two partners at most, so no group is expanded.
+    """
+    dealt = _dealt(nodes.select("row", "fp", "size"), radius)
+    if dealt is None:
+        return nodes.sparkSession.createDataFrame([], "src long, dst long")
+    placed, table = dealt
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        fps = pdf["fp"].to_numpy(np.int64).view(np.uint64)
+        by = _order(fps)
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "fps": [fps[by].tobytes()], "ids": [pdf["row"].to_numpy(np.int64)[by].tobytes()], "sizes": [pdf["size"].to_numpy(np.int64)[by].tobytes()]})
+
+    blocks = Table(placed.groupBy("block").applyInPandas(pack, "block int, fps binary, ids binary, sizes binary"), "fp-blocks").df
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("side")
+        sides = [np.frombuffer(x, "<u8") for x in pdf["fps"]]
+        fps = np.concatenate(sides)
+        ids, sizes = (np.concatenate([np.frombuffer(x, "<i8") for x in pdf[c]]) for c in ("ids", "sizes"))
+        least, near = np.full((2, len(fps)), np.iinfo(np.int64).max)
+        off = len(sides[0]) if len(sides) > 1 else 0
+        for i, j in close_pairs(sides[0], sides[1] if off else None, radius):
+            j = j + off
+            fit = np.minimum(sizes[i], sizes[j]) >= ratio * np.maximum(sizes[i], sizes[j]) - 1e-9
+            i, j = i[fit], j[fit]
+            gap = np.bitwise_count(fps[i] ^ fps[j]).astype(np.int64) << 56
+            for mine, other in ((i, j), (j, i)):
+                np.minimum.at(least, mine, ids[other])
+                np.minimum.at(near, mine, gap | ids[other])
+        met = least < np.iinfo(np.int64).max
+        give_back()
+        return pd.DataFrame({"row": ids[met], "least": least[met], "near": near[met]})
+
+    found = blocks.join(F.broadcast(table), "block").groupBy("pair").applyInPandas(compare, "row long, least long, near long")
+    found = found.groupBy("row").agg(F.min("least").alias("least"), F.min("near").bitwiseAND((1 << 56) - 1).alias("near"))
+    pairs = found.select("row", F.explode(F.array("least", "near")).alias("other"))
+    return pairs.select(F.least("row", "other").alias("src"), F.greatest("row", "other").alias("dst")).distinct()
+
+
 def classes(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, class_fp, class_id) for each distinct fingerprint of a table (doc_id, fp): the class of fingerprints
     that links within the radius connect, and its smallest doc_id."""

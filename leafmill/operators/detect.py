@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions import urls
+from leafmill.functions import dom, urls
 from leafmill.operators.nodes import attr, count_inside, within
 
 # Selectors and texts of a blog's chrome.
@@ -109,7 +109,7 @@ def wordpress_chrome() -> list[Rule]:
     """Elements of the blog's chrome, one issue for each selector that fits, and short texts of it."""
     by_selector = [Rule(_fits(s) & (F.char_length("text") >= 3), "WARN", F.format_string('Page chrome (%s): "%s"', F.lit(s), _cut(F.col("text"), 50))) for s in CHROME_SELECTORS]
     short = F.trim(F.regexp_replace("whole_text", r"\s+", " "))
-    return [*by_selector, Rule(_tag("p", "div", "span") & (F.char_length(short) <= 200) & _any(short, CHROME_TEXTS), "WARN", F.format_string('Metadata in the article: "%s"', _cut(short, 60)))]
+    return [*by_selector, Rule(_tag("p", "div", "span") & (F.char_length(short) <= dom.SHORT) & _any(short, CHROME_TEXTS), "WARN", F.format_string('Metadata in the article: "%s"', _cut(short, 60)))]
 
 
 def missing_image_signal() -> list[Rule]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import markdown, rewrite
@@ -69,15 +69,30 @@ def match(rules: DataFrame, fences: DataFrame) -> DataFrame:
     place first, later before earlier. A band join, equal on the key.
     """
     key = fences.columns[0]
-    r, f = rules.alias("r"), fences.alias("f")
-    near = r.join(f, (F.col(f"r.{key}") == F.col(f"f.{key}")) & F.col("f.idx").between(F.col("r.fence_index") - SLIDE, F.col("r.fence_index") + SLIDE), "left")
-    sample = markdown.normalised(F.col("r.content_sample"))
-    alike = markdown.similarity(F.substring(markdown.normalised(F.col("f.content")), F.lit(1), F.char_length(sample)), sample)
-    way = F.when(F.col("f.fingerprint") == F.col("r.fingerprint"), 0).when(alike >= ALIKE, 1)
-    off = F.col("f.idx") - F.col("r.fence_index")
-    scored = near.select(F.col(f"r.{key}").alias(key), F.col("r.check").alias("check"), F.col("r.fence_index").alias("fence_index"), F.when(way.isNotNull(), F.col("f.idx")).alias("idx"), way.alias("way"), F.abs(off).alias("off"), (off < 0).alias("before"))
-    best = Window.partitionBy(key, "check", "fence_index").orderBy(F.col("way").asc_nulls_last(), "off", "before")
-    return scored.withColumn("n", F.row_number().over(best)).filter("n = 1").select(key, "check", "fence_index", "idx")
+    same = _near(rules.select(key, "check", "fence_index", "fingerprint"), fences.select(key, "idx", "fingerprint"), key, "inner").filter("fingerprint = print")
+    exact = _nearest(same, key)
+    # texts are prepared and compared for the rules alone that no fingerprint answers, once a text and not once a pair
+    found = exact.select(F.col(key).alias("__key"), F.col("check").alias("__check"), F.col("fence_index").alias("__index"))
+    answered = (F.col(key) == F.col("__key")) & F.col("check").eqNullSafe(F.col("__check")) & (F.col("fence_index") == F.col("__index"))
+    left = rules.select(key, "check", "fence_index", "content_sample").join(found, answered, "left_anti").withColumn("sample", markdown.normalised(F.col("content_sample")))
+    texts = fences.select(key, "idx", "content").join(left.select(key), key, "left_semi").withColumn("plain", markdown.normalised(F.col("content"))).drop("content")
+    near = _near(left.drop("content_sample"), texts, key, "left")
+    alike = markdown.similarity(F.substring("plain", F.lit(1), F.char_length("sample")), F.col("sample")) >= ALIKE
+    close = near.select(key, "check", "fence_index", "off", F.when(alike, F.col("idx")).alias("idx"))
+    return exact.unionByName(_nearest(close, key))
+
+
+def _near(rules: DataFrame, fences: DataFrame, key: str, how: str) -> DataFrame:
+    """Rules with the fences (key, idx, fingerprint, ...) at most SLIDE places away; off is how far after its rule one is."""
+    other = fences.withColumnsRenamed({key: "__other", "fingerprint": "print"})
+    band = (F.col(key) == F.col("__other")) & F.col("idx").between(F.col("fence_index") - SLIDE, F.col("fence_index") + SLIDE)
+    return rules.join(other, band, how).withColumn("off", F.col("idx") - F.col("fence_index")).drop("__other")
+
+
+def _nearest(found: DataFrame, key: str) -> DataFrame:
+    """Of each rule's fences the one that fits and is nearest, later before earlier; null if none fits."""
+    rank = F.struct(F.abs("off").alias("far"), (F.col("off") < 0).alias("before"))
+    return found.groupBy(key, "check", "fence_index").agg(F.min_by("idx", F.when(F.col("idx").isNotNull(), rank)).alias("idx"))
 
 
 def _replay(md: str, rules: list[dict]) -> tuple[str, list[str]]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import markdown, rewrite, urls
-from leafmill.operators.nodes import spread
+from leafmill.operators.nodes import map_rows, spread
 
 META = "title string, date string, author string, categories array<string>, tags array<string>, site string"
 STATS = ("pre_br_normalised", "code_classes_normalised", "youtube_replaced", "gists_replaced", "gists_failed", "code_fixed", "languages_detected", "embeds_replaced")
@@ -86,11 +86,7 @@ def fences(posts: DataFrame, key: str = "slug", md: str = "md") -> DataFrame:
     """(key, idx, start, end, language, content, fingerprint, sample) of the fenced blocks of each text."""
     kind = posts.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([(k, *f) for k, text in zip(pdf[key], pdf["md"]) for f in rewrite.fences(text)], columns=[key, "idx", "start", "end", "language", "content"])
-
-    found = posts.select(key, F.col(md).alias("md")).mapInPandas(run, f"{key} {kind}, idx int, start int, end int, language string, content string")
+    found = map_rows(posts.select(key, md), lambda k, text: ((k, *f) for f in rewrite.fences(text)), f"{key} {kind}, idx int, start int, end int, language string, content string")
     return found.withColumns({"fingerprint": markdown.fingerprint(F.col("content")), "sample": F.substring("content", 1, 128)})
 
 

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import markdown, rewrite
-from leafmill.operators.nodes import spread
+from leafmill.operators.nodes import map_rows, spread
 
 FACTS = (
     "words int, pres int, headings array<string>, paragraphs array<string>, text string, codes array<string>, lists int, links int, tables int, table_starts array<string>, "
@@ -32,8 +29,10 @@ def facts(pages: DataFrame, key: str = "slug", html: str = "html") -> DataFrame:
         article = rewrite.load_article(page)
         if article is None:
             return {"error": "No article"}
-        plain = rewrite.load_article(page)
-        rewrite.drop_all(plain, "pre", "code")
+        plain = article
+        if article.first("pre", "code") is not None:
+            plain = rewrite.load_article(page)
+            rewrite.drop_all(plain, "pre", "code")
         links = {a.attrs["href"] for a in article.all("a") if a.attrs.get("href", "").startswith("http") and "linkurl=" not in a.attrs["href"]}
         phrases = []
         for p in article.all("p"):
@@ -51,18 +50,14 @@ def facts(pages: DataFrame, key: str = "slug", html: str = "html") -> DataFrame:
             "languages": sorted({c[9:] for n in article.all("code", "pre") for c in n.classes if c.startswith("language-")}), "phrases": phrases[:8], "error": None,
         }
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k, page in zip(pdf[key], pdf["html"]):
-                try:
-                    found = of(page)
-                except Exception as wrong:  # an unreadable page is a result, not a failure
-                    found = {"error": str(wrong)[:200]}
-                out.append((k, *(found.get(n, [] if n in ("headings", "paragraphs", "codes", "table_starts", "languages", "phrases") else 0 if n not in ("text", "error") else None) for n in names)))
-            yield pd.DataFrame(out, columns=[key, *names])
+    def read(k, page: str | None) -> list[tuple]:
+        try:
+            found = of(page)
+        except Exception as wrong:  # an unreadable page is a result, not a failure
+            found = {"error": str(wrong)[:200]}
+        return [(k, *(found.get(n, [] if n in ("headings", "paragraphs", "codes", "table_starts", "languages", "phrases") else 0 if n not in ("text", "error") else None) for n in names))]
 
-    return spread(pages.select(key, F.col(html).alias("html"))).mapInPandas(run, f"{key} {kind}, {FACTS}")
+    return map_rows(spread(pages.select(key, html)), read, f"{key} {kind}, {FACTS}")
 
 
 def _plain(text: Column) -> Column:
@@ -77,18 +72,35 @@ def _start(text: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(F.trim(F.lower(text)), r"\s+"), 1, n), " ")
 
 
+def _once(df: DataFrame, **made: Column) -> DataFrame:
+    """df with columns that are computed once a row: a generator, which the optimiser doesn't put into the expressions
+    that use them, where each use, and in functions of arrays each element, would compute them again."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in made.items()]))))
+
+
+def _prepared(joined: DataFrame) -> DataFrame:
+    """joined with what several cross checks need of a text (md) and of its page (text)."""
+    parts = F.filter(F.split("body", "\n\n"), lambda p: F.char_length(F.trim(p)) > 80)
+    last = F.try_element_at(F.filter("paragraphs", lambda p: F.char_length(p) > 30), F.lit(-1))
+    sought = (F.size("codes") > 0) | (F.size("phrases") > 0)
+    bodies = _once(joined, body=markdown.body(F.col("md")), last=last)
+    bodies = _once(bodies, low=F.lower("body"), squeezed=F.when(sought, _squeezed(F.col("body"))), plain=_plain(F.col("body")), ending=F.substring(_plain(F.col("last")), 1, 40), parts=parts)
+    ordered = _once(bodies, ordered=F.sort_array("parts"))
+    twice = F.array_compact(F.zip_with("ordered", F.slice("ordered", 2, F.size("ordered")), lambda p, q: F.when(p == q, p)))
+    repeated = _once(ordered, repeated=F.array_intersect("parts", twice))
+    return _once(repeated, page=F.when(F.size("repeated") > 0, _squeezed(F.col("text"))))
+
+
 def cross_checks(md: Column, terms=(), extended: bool = True) -> dict[str, Column]:
-    """For each check of a text against the facts of its page (columns of facts()), its issue or null.
+    """For each check of a text against the facts of its page (columns of facts() and _prepared()), its issue or null.
 
     terms: words of the trade that must survive conversion. The first five always apply, the rest if extended.
     """
     issue = markdown._issue
-    text = markdown.body(md)
-    low, squeezed = F.lower(text), _squeezed(text)
+    text, low, squeezed = F.col("body"), F.col("low"), F.col("squeezed")
     md_words, fences = markdown.words(markdown.without_fences(text)), F.floor(markdown.fence_lines(md) / 2).cast("int")
     lost_heads = F.filter("headings", lambda h: (F.char_length(h) >= 3) & ~F.contains(low, _start(h, 4)))
-    last = F.try_element_at(F.filter("paragraphs", lambda p: F.char_length(p) > 30), F.lit(-1))
-    ending = F.substring(_plain(last), 1, 40)
+    last, ending = F.col("last"), F.col("ending")
     lost_terms = F.filter(F.array(*map(F.lit, terms)).cast("array<string>"), lambda t: F.contains(F.lower("text"), t) & ~F.contains(F.lower(md), t))
     out = {
         "word_count": issue((F.col("words") > 150) & (md_words < F.col("words") * 0.35), "word_count", "WARN", F.format_string("Text has %d words, page %d", md_words, F.col("words"))),
@@ -97,15 +109,13 @@ def cross_checks(md: Column, terms=(), extended: bool = True) -> dict[str, Colum
             issue((F.col("pres") > 0) & (F.abs(F.col("pres") - fences) > 1), "code_block_count", "WARN", F.format_string("Page has %d code blocks, text %d", F.col("pres"), fences)),
         ),
         "heading_match": issue(F.size(lost_heads) > 0, "heading_match", "WARN", F.concat(F.lit("Headings are gone: "), F.array_join(F.slice(lost_heads, 1, 3), "; "))),
-        "last_section_present": issue((ending != "") & ~F.contains(_plain(text), ending), "last_section_present", "WARN", F.concat(F.lit("The last paragraph is gone: "), F.substring(last, 1, 60))),
+        "last_section_present": issue((ending != "") & ~F.contains("plain", ending), "last_section_present", "WARN", F.concat(F.lit("The last paragraph is gone: "), F.substring(last, 1, 60))),
         "technical_terms": issue(F.size(lost_terms) > 0, "technical_terms", "WARN", F.concat(F.lit("Terms are gone: "), F.array_join(lost_terms, ", "))),
     }
     if not extended:
         return out
-    parts = F.filter(F.split(text, "\n\n"), lambda p: F.char_length(F.trim(p)) > 80)
-    repeated = F.filter(F.array_distinct(parts), lambda p: F.size(F.filter(parts, lambda q: q == p)) > 1)
-    page = _squeezed(F.col("text"))
-    doubled = F.filter(repeated, lambda p: (F.char_length(page) - F.char_length(F.replace(page, F.substring(_squeezed(p), 1, 30), F.lit("")))) < 2 * F.least(F.lit(30), F.char_length(_squeezed(p))))
+    page = F.col("page")
+    doubled = F.filter("repeated", lambda p: (F.char_length(page) - F.char_length(F.replace(page, F.substring(_squeezed(p), 1, 30), F.lit("")))) < 2 * F.least(F.lit(30), F.char_length(_squeezed(p))))
     body_has = lambda piece: F.contains(squeezed, _squeezed(piece))
     lost_code = F.filter("codes", lambda c: (F.char_length(_squeezed(c)) >= 10) & ~body_has(F.substring(F.trim(c), 1, 25)))
     cut_code = F.filter("codes", lambda c: (F.char_length(F.trim(c)) >= 60) & body_has(F.substring(F.trim(c), 1, 25)) & ~body_has(F.substring(F.trim(c), -30, 30)))
@@ -131,7 +141,7 @@ def cross_checks(md: Column, terms=(), extended: bool = True) -> dict[str, Colum
 
 def cross_check(posts: DataFrame, pages: DataFrame, key: str = "slug", md: str = "md", html: str = "html", terms=(), extended: bool = True) -> DataFrame:
     """(key, check, level, detail) of texts with a page: an inner join on the key. An unreadable page is an issue."""
-    joined = posts.select(key, F.col(md).alias("md")).join(facts(pages, key, html), key)
+    joined = _prepared(posts.select(key, F.col(md).alias("md")).join(facts(pages, key, html), key))
     broken = markdown._issue(F.col("error").isNotNull(), "cross_check_error", "WARN", F.concat(F.lit("The page can't be read: "), F.col("error")))
     found = F.array_compact(F.array(broken, *[F.when(F.col("error").isNull(), c) for c in cross_checks(F.col("md"), terms, extended).values()]))
     return joined.select(key, F.inline(found))
